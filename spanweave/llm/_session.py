@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +54,12 @@ def keep_one(docs: DataFrame, losers: DataFrame) -> DataFrame:
     once = kept.join(ids, "doc_id", "left_anti").select(*docs.columns)
     again = kept.join(ids, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(again)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
