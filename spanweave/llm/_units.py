@@ -34,9 +34,11 @@ class UnitCache:
 
     def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, ...]], columns: int, most: int = 700_000):
         self.make, self.columns, self.most = make, columns, most
+        self.generation = 0
         self.clear()
 
     def clear(self) -> None:
+        self.generation += 1
         self.known: dict[int, int] = {}
         self.flat, self.used, self.count = np.zeros(1 << 20, np.int32), 0, 0
         self.start = np.zeros(1 << 16, np.int64)
