@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm._session import keep_one
+from spanweave.llm._session import keep_one, stored
 from spanweave.llm.exact_dedup import exact_dedup
+from spanweave.llm.mixing import mix
 from spanweave.llm.near_dedup import near_groups
 from spanweave.llm.quality import classify
+from spanweave.llm.queries import PIECES
+from spanweave.llm.segmentation import encode
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +28,22 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs, near_groups(docs))
 
 
-STAGES = [("quality", quality), ("exact", exact), ("near", near)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mixture takes, once for each time; see `mix` for rows without tokens or sources."""
+    return mix(docs).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document; see `encode` for rows without text or doc_id."""
+    return encode(docs, PIECES)
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixing", mixture), ("encoding", encoding)]
 ORACLE_SQL = None  # the classifier's and the segmentation's results are not expressible in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the documents, each written to the shared folder before the next."""
-    from spanweave.llm._session import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

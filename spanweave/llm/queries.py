@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bwt_merge import repeated_intervals
 from .exact_dedup import EXACT_SQL, exact_dedup
+from .lempel_ziv import shared_factors
+from .mixing import mix
 from .near_dedup import near_groups
+from .passages import SPANS_SQL
 from .quality import classify
+from .segmentation import encode
 from .suffix_tree import tree_scores
+from .token_counts import token_counts
+from .vantage import neighbours
+
+TOKENIZERS = "/opt/tokenizers"
+BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,18 +29,56 @@ def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_scores(_read(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "mix_copy", "mix_source")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_intervals(_read(spark, sf_dir, "documents"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(_read(spark, sf_dir, "embeddings"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_factors(_read(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return kept.selectExpr("doc_id", "lang", "round(perplexity, 6) AS perplexity")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op9_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_read(spark, sf_dir, "documents"), PIECES)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree_scores, op3_near_dedup, op7_quality_classifier, op10_exact_dedup)}
-ORACLES = {"op10_exact_dedup": EXACT_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_tree_scores,
+        op2_mixing,
+        op3_near_dedup,
+        op4_suffix_array_dedup,
+        op5_nearest_neighbours,
+        op6_substring_dedup,
+        op7_quality_classifier,
+        op8_token_counts,
+        op9_segmentation,
+        op10_exact_dedup,
+    )
+}
+ORACLES = {"op4_suffix_array_dedup": SPANS_SQL, "op6_substring_dedup": SPANS_SQL, "op10_exact_dedup": EXACT_SQL}
