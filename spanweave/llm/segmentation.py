@@ -200,6 +200,11 @@ def lattice(path: str) -> Lattice:
     return _state["lattice"]
 
 
+def worker_state(path: str) -> tuple[Lattice, UnitCache, dict]:
+    """The model, the units and the alternatives found so far, kept by this worker from task to task."""
+    return lattice(path), _state["cache"], _state["more"]
+
+
 def combine(total: float, places: list[tuple[int, list[tuple[float, list[int]]]]], n: int) -> list[tuple[float, list[tuple[int, list[int]]]]]:
     """The n best texts from the alternatives of some of its units: (unit, paths best first); the others stay."""
     loss = lambda choice: sum(places[i][1][0][0] - places[i][1][j][0] for i, j in choice)
@@ -282,10 +287,10 @@ def encode(docs: DataFrame, model_path: str, n: int = NBEST) -> DataFrame:
     schema = f"doc_id {kind}, ids array<int>, n_tokens long, score double, n_best array<struct<score double, edits array<struct<unit int, ids array<int>>>>>, round_trip boolean"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattice(model_path)
+        lat, cache, more = worker_state(model_path)
         for batch in it:
             for c in chunks(batch.column(1)):
-                ids, counts, total, best = encode_chunk(c, lat, _state["cache"], _state["more"], n)
+                ids, counts, total, best = encode_chunk(c, lat, cache, more, n)
                 offs = np.r_[0, np.cumsum(counts)].astype(np.int32)
                 data, sizes = lat.decode(ids.astype(np.int64), counts)
                 ends = np.r_[0, np.cumsum(sizes)]

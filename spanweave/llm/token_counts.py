@@ -173,6 +173,13 @@ def truncate_at(data: bytes, budget: int) -> int:
     return int(fit[-1]) + 1 if len(fit) else 0
 
 
+def worker_cache(path: str) -> UnitCache:
+    """Counts by distinct piece, kept by this worker from task to task."""
+    if _state.get("path") != path:
+        _state["path"], _state["cache"] = path, UnitCache(PrefixCounter(path).make, 0)
+    return _state["cache"]
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, budgets: tuple[int, ...] = (512, 2048)) -> DataFrame:
     """(doc_id, n_chars, n_tokens, prefix_counts, cut_<budget>…) for each row of `docs`.
 
@@ -190,11 +197,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, budgets: tuple[int, ...]
     schema = f"doc_id {kinds}, n_chars long, n_tokens long, prefix_counts binary, " + ", ".join(f"cut_{b} long" for b in budgets)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _state.get("path") != tokenizer_path:
-            _state["path"], _state["cache"] = tokenizer_path, UnitCache(PrefixCounter(tokenizer_path).make, 0)
+        cache = worker_cache(tokenizer_path)
         for batch in it:
             for c in chunks(batch.column(1)):
-                counts, starts = prefix_counts(c, _state["cache"])
+                counts, starts = prefix_counts(c, cache)
                 m = len(starts) - 1
                 size = np.diff(starts)
                 full = np.flatnonzero(size > 0)
