@@ -10,7 +10,7 @@ from .lempel_ziv import shared_factors
 from .mixing import mix
 from .near_dedup import near_groups
 from .passages import SPANS_SQL
-from .quality import classify
+from .quality import passing_ids
 from .segmentation import encode
 from .suffix_tree import tree_scores
 from .token_counts import token_counts
@@ -50,7 +50,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    kept = passing_ids(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return kept.selectExpr("doc_id", "lang", "round(perplexity, 6) AS perplexity")
 
 
