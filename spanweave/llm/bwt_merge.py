@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._batch import gram_hashes, spread
+from ._batch import gram_hashes
 from .passages import WINDOW, load_segments, runs, shared_spans, spans_table
 
 STRIDE = 16
@@ -90,8 +90,8 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]], rounds: int) -> tuple[np.
 
 
 def _kernel(t: pa.Table) -> pa.Table:
-    c, w, doc, s0, r = load_segments(t)
-    syms = gram_hashes(w.hashes, STRIDE)
+    hashes, row_starts, doc, s0, r = load_segments(t)
+    syms = gram_hashes(hashes, STRIDE)
     # each segment gives STRIDE strings of 16-word symbols, one for each phase
     count = r + WINDOW - STRIDE
     phases = np.tile(np.arange(STRIDE), len(doc))
@@ -102,7 +102,7 @@ def _kernel(t: pa.Table) -> pa.Table:
     offset = np.arange(len(string)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     local = phases[string] + offset * STRIDE
     ended = offset == per[string]
-    at = w.row_starts[seg[string]] + local
+    at = row_starts[seg[string]] + local
     _, dense = np.unique(syms[at[~ended]], return_inverse=True)
     x = np.zeros(len(string), np.uint32)
     x[~ended] = dense + 1

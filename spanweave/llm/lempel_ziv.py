@@ -33,13 +33,13 @@ class Block:
 
 
 def _kernel(t: pa.Table) -> pa.Table:
-    c, w, doc, s0, r = load_segments(t)
-    n = len(w.hashes)
-    seg_of = np.repeat(np.arange(len(doc)), np.diff(w.row_starts))
-    end_of = w.row_starts[1:][seg_of]
+    hashes, row_starts, doc, s0, r = load_segments(t)
+    n = len(hashes)
+    seg_of = np.repeat(np.arange(len(doc)), np.diff(row_starts))
+    end_of = row_starts[1:][seg_of]
     doc_at = doc[seg_of]
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(w.hashes * powers(n), out=prefix[1:])
+    np.cumsum(hashes * powers(n), out=prefix[1:])
     inv = powers(n + 1, inverse=True)
 
     def same(a: np.ndarray, b: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -54,11 +54,11 @@ def _kernel(t: pa.Table) -> pa.Table:
             lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid - 1)
         return lo
 
-    key = gram_hashes(w.hashes, WINDOW)
+    key = gram_hashes(hashes, WINDOW)
     owned = np.flatnonzero(np.arange(len(key)) + WINDOW <= end_of[: len(key)])
     blocks = []
     for a in range(0, len(doc), BLOCK_SEGMENTS):
-        lo, hi = np.searchsorted(owned, w.row_starts[[a, min(len(doc), a + BLOCK_SEGMENTS)]])
+        lo, hi = np.searchsorted(owned, row_starts[[a, min(len(doc), a + BLOCK_SEGMENTS)]])
         blocks.append(Block(key[owned[lo:hi]], owned[lo:hi], doc_at[owned[lo:hi]]))
     places = [np.full(n + 1, -1, np.int64) for _ in blocks]
     any_ = np.zeros(n + 1, bool)
@@ -68,12 +68,12 @@ def _kernel(t: pa.Table) -> pa.Table:
     hit = np.where(any_, np.arange(n + 1), n + 1)
     next_hit = np.minimum.accumulate(hit[::-1])[::-1]
     last_hit = np.maximum.accumulate(np.where(any_, np.arange(n + 1), -1))
-    at, seg = w.row_starts[:-1].copy(), np.arange(len(doc))
+    at, seg = row_starts[:-1].copy(), np.arange(len(doc))
     found_b, found_e, found_s = [], [], []
     while len(at):
         # literals up to the next place that a block holds, then the longest factor from there
         at = next_hit[np.minimum(at, n)]
-        live = at < w.row_starts[1:][seg]
+        live = at < row_starts[1:][seg]
         at, seg = at[live], seg[live]
         if not len(at):
             break
@@ -93,7 +93,7 @@ def _kernel(t: pa.Table) -> pa.Table:
         z = np.zeros(0, np.int64)
         return spans_table(z, z, z)
     b, e, s = (np.concatenate(x) for x in (found_b, found_e, found_s))
-    return spans_table(doc[s], s0[s] + b - w.row_starts[s], s0[s] + e - w.row_starts[s])
+    return spans_table(doc[s], s0[s] + b - row_starts[s], s0[s] + e - row_starts[s])
 
 
 def shared_factors(docs: DataFrame) -> DataFrame:

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._batch import Chunk, Words, chunks, gram_hashes, spread, words
+from ._batch import Words, chunks, gram_hashes, spread, words
 from ._session import cut
 
 WINDOW, GRAM = 48, 8
-SEGMENTS_A_GROUP = 20_000
+SEGMENTS_A_GROUP = 8_000
 
 
 def window_minima(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -93,12 +93,16 @@ def shared_segments(docs: DataFrame) -> tuple[DataFrame, int]:
     return joined.mapInArrow(_segments, "key long, doc_id long, s0 int, r int, words string"), number
 
 
-def load_segments(t: pa.Table) -> tuple[Chunk, Words, np.ndarray, np.ndarray, np.ndarray]:
-    """A group's segments as one chunk in order of (doc_id, s0): chunk, words, documents, first words, windows."""
+def load_segments(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A group's segments in order of (doc_id, s0): word hashes, each segment's first of them, documents, first
+    words, windows.  The texts are hashed chunk by chunk, so that memory follows words and not bytes."""
     t = t.sort_by([("doc_id", "ascending"), ("s0", "ascending"), ("key", "ascending")])
-    text = t["words"].combine_chunks()
-    (c,) = chunks(text, 1 << 62)
-    return c, words(c), t["doc_id"].to_numpy(), t["s0"].to_numpy().astype(np.int64), t["r"].to_numpy().astype(np.int64)
+    hashes, starts = [], [np.zeros(1, np.int64)]
+    for c in chunks(t["words"]):
+        w = words(c)
+        hashes.append(w.hashes)
+        starts.append(starts[-1][-1] + w.row_starts[1:])
+    return np.concatenate(hashes), np.concatenate(starts), t["doc_id"].to_numpy(), t["s0"].to_numpy().astype(np.int64), t["r"].to_numpy().astype(np.int64)
 
 
 def spans_table(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Table:
