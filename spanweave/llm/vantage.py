@@ -135,7 +135,7 @@ def neighbours(vectors: DataFrame, k: int = K, factor: float = FACTOR, per_shard
                 found = np.full((len(i), k), -1, np.int64)
                 mark = np.full((len(i), k), np.iinfo(np.int64).max, np.int64)
                 tree.search(q, i, k, factor, d, mark)
-                ok = mark != np.iinfo(np.int64).max
+                ok = (mark != np.iinfo(np.int64).max) & np.isfinite(d)
                 outs.append((np.repeat(i, ok.sum(axis=1)), mark[ok], d[ok]))
             a, b, d = (np.concatenate(z) for z in zip(*outs))
             return pa.table({"vec_id": a, "neighbor_id": b, "distance": d})
