@@ -177,9 +177,8 @@ class Lattice:
         """The bytes of several texts in turn, each without its first space, and the number of bytes of each."""
         size = self.body_size[ids]
         data = self.body[spread(self.body_start[ids], size)]
-        ends = np.cumsum(size)
-        at = np.cumsum(counts)
-        sizes = np.diff(np.r_[0, ends[at - 1] if len(ends) else at]) if len(at) else at
+        ends = np.r_[0, np.cumsum(size)]
+        sizes = np.diff(ends[np.r_[0, np.cumsum(counts)]])
         keep = np.ones(len(data), bool)
         first = np.cumsum(sizes) - sizes
         keep[first[sizes > 0]] = False
