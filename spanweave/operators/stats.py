@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,10 +164,6 @@ def mark_terms(docs: DataFrame, assoc: DataFrame, threshold: float) -> DataFrame
 
     `assoc` is (x, y, pmi) with y a doc_id.  Longer terms first, each occurrence marked once.
     """
-    import re
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def mark(text: pd.Series, terms: pd.Series) -> pd.Series:
         def one(t, pairs):
