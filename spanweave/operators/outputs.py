@@ -138,3 +138,35 @@ def split_quota(docs: DataFrame, train: float = 0.8, test: float = 0.1, seed: in
     """Documents with a part, train, test or dev, by a seeded hash."""
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
     return docs.withColumn("part", F.when(u < train, "train").when(u < train + test, "test").otherwise("dev"))
+
+
+def frame_tuple(frames: DataFrame, fields: list[str]) -> DataFrame:
+    """The named fields of frames (JSON) as columns, several values joined by /."""
+
+    def one(f: str) -> Column:
+        raw = F.get_json_object("fields", f"$.{f}")
+        several = F.from_json(raw, "array<string>")
+        return F.when(raw.startswith("["), F.array_join(several, "/")).otherwise(F.coalesce(raw, F.lit(""))).alias(f)
+
+    return frames.select(*KEY, *[one(f) for f in fields])
+
+
+def lemmas(sents: DataFrame, spans: DataFrame) -> DataFrame:
+    """Spans with the lemmas of their tokens in lower case, joined by blanks."""
+    layer = F.transform(F.col("ann")["lemma"], lambda x: F.lower(F.get(x, F.lit(0))))
+    j = spans.join(sents.select(*KEY, layer.alias("_l")), KEY)
+    return j.withColumn("lemmas", F.array_join(F.slice("_l", F.col("begin") + 1, F.col("end") - F.col("begin")), " ")).drop("_l")
+
+
+def search(spans: DataFrame) -> DataFrame:
+    """The first match of each document."""
+    return spans.groupBy("doc_id").agg(F.min(F.struct("sent_id", "begin", "end")).alias("m")).select("doc_id", "m.*")
+
+
+def write_tsv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").csv(path, sep="\t")
+
+
+def write_frame_features(docs: DataFrame, spans: DataFrame, rules: list[str], path: str) -> None:
+    """All columns of the documents with a 0/1 column for each rule, as CSV with a header."""
+    docs.join(document_features(docs, spans, rules), "doc_id").write.mode("overwrite").csv(path, header=True)

@@ -92,3 +92,19 @@ def test_marks_and_radius(spark):
     e = Engine(rules)
     e.start_sentence(Sentence(["a", "b", "c"]))
     assert [m.begin for m in e.scan("x", 0, 3)] == [0, 1]
+
+
+def test_more_outputs(spark):
+    f = spark.createDataFrame([(1, 0, '{"a": ["x", "y"], "b": "z"}')], "doc_id long, sent_id int, fields string")
+    assert tuple(O.frame_tuple(f, ["a", "b", "c"]).first()) == (1, 0, "x/y", "z", "")
+    s = spark.createDataFrame([(1, 0, ["Ran", "off"], {"lemma": [["Run"], ["off"]]})], "doc_id long, sent_id int, tokens array<string>, ann map<string,array<array<string>>>")
+    m = spark.createDataFrame([(1, 0, 0, 2), (1, 0, 1, 2)], "doc_id long, sent_id int, begin int, end int")
+    assert O.lemmas(s, m).where("begin = 0").first().lemmas == "run off"
+    assert tuple(O.search(m).first()) == (1, 0, 0, 2)
+    from spanweave.operators import spans as A
+
+    assert [tuple(r) for r in A.merge(m.union(spark.createDataFrame([(1, 0, 5, 6)], m.schema))).orderBy("begin").collect()] == [(1, 0, 0, 2), (1, 0, 5, 6)]
+    p = spark.createDataFrame([(1, 0, 0, 3)], m.schema)
+    left, right = spark.createDataFrame([(1, 0, 0, 1)], m.schema), spark.createDataFrame([(1, 0, 2, 4)], m.schema)
+    assert A.connects(p, left, right).count() == 1 and A.connects(p, right, left).count() == 0
+    assert A.leftmost(spark.createDataFrame([(1, 0, 0, 2), (1, 0, 1, 3), (1, 0, 2, 4)], m.schema)).count() == 1
