@@ -12,7 +12,7 @@ from .near_dedup import near_groups
 from .passages import SPANS_SQL
 from .quality import passing_ids
 from .segmentation import encode
-from .suffix_tree import tree_scores
+from .suffix_tree import tree_scores, tree_sql
 from .token_counts import token_counts
 from .vantage import neighbours
 
@@ -81,4 +81,4 @@ QUERIES = {
         op10_exact_dedup,
     )
 }
-ORACLES = {"op4_suffix_array_dedup": SPANS_SQL, "op6_substring_dedup": SPANS_SQL, "op10_exact_dedup": EXACT_SQL}
+ORACLES = {"op1_suffix_tree_scores": tree_sql(), "op4_suffix_array_dedup": SPANS_SQL, "op6_substring_dedup": SPANS_SQL, "op10_exact_dedup": EXACT_SQL}

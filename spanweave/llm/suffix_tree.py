@@ -78,5 +78,35 @@ def tree_scores(docs: DataFrame, train: DataFrame | None = None, depth: int = DE
     table = cut(state_probabilities(codes, tree, beta))
     lp, size = fresh(view, "log_prob"), fresh(view, "n_bytes")
     out = score(view, table, depth, None, (lp, size, "_none"))
-    return out.select("doc_id", F.coalesce(size, F.lit(0)).alias("n_bytes"), F.round(lp, 4).alias("log_prob"), F.round(-F.col(lp) / F.col(size) / 0.6931471805599453, 6).alias("bits_per_byte"))
-
+    return out.select("doc_id", F.coalesce(size, F.lit(0)).alias("n_bytes"), F.round(lp, 3).alias("log_prob"), F.round(-F.col(lp) / F.col(size) / 0.6931471805599453, 6).alias("bits_per_byte"))
+
+
+
+def tree_sql(depth: int = DEPTH, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE, beta: float = BETA) -> str:
+    """The scores of all documents under a tree of all documents, over hexadecimal texts."""
+    ctes = [
+        f"h AS (SELECT doc_id, row_number() OVER () AS r, repeat('00', {depth}) || hex(encode(text)) AS x FROM documents WHERE text IS NOT NULL)",
+        f"p AS (SELECT doc_id, r, substr(x, 2 * i + 1, {2 * depth + 2}) AS code FROM (SELECT doc_id, r, x, unnest(range(length(x) // 2 - {depth})) AS i FROM h))",
+        "c AS (SELECT code, count(*) AS n FROM p GROUP BY 1)",
+    ]
+    for d in range(depth + 1):
+        ctes.append(f"l{d} AS (SELECT right(code, {2 * d + 2}) AS code, left(right(code, {2 * d + 2}), {2 * d}) AS ctx, sum(n) AS n FROM c GROUP BY 1, 2)")
+        ctes.append(f"t{d} AS (SELECT *, sum(n) OVER (PARTITION BY ctx) AS total FROM l{d})")
+    for d in range(depth, 0, -1):
+        own = f"SELECT a.ctx FROM t{d} a JOIN t{d - 1} b ON b.code = right(a.code, {2 * d}) WHERE a.total >= {min_count} GROUP BY 1 HAVING sum(a.n / a.total * ln(a.n * b.total / (a.total * b.n))) >= {divergence}"
+        ctes.append(f"k{d} AS ({own}{f' UNION SELECT right(ctx, {2 * d}) FROM k{d + 1}' if d < depth else ''})")
+    ctes.append("k0 AS (SELECT '' AS ctx)")
+    ctes.append("s AS (SELECT code, 1 / 256 AS q FROM c)")
+    before = "s"
+    for d in range(depth + 1):
+        ctes.append(
+            f"q{d} AS (SELECT s.code, CASE WHEN k.ctx IS NULL THEN q ELSE (coalesce(t.n, 0) + {beta} * q) / (u.total + {beta}) END AS q FROM {before} s "
+            f"LEFT JOIN k{d} k ON k.ctx = left(right(s.code, {2 * d + 2}), {2 * d}) "
+            f"LEFT JOIN (SELECT DISTINCT ctx, total FROM t{d}) u ON u.ctx = k.ctx LEFT JOIN t{d} t ON t.code = right(s.code, {2 * d + 2}))"
+        )
+        before = f"q{d}"
+    ctes.append(f"z AS (SELECT r, count(*) AS n, sum(ln(q)) AS lp FROM p JOIN q{depth} USING (code) GROUP BY 1)")
+    return (
+        "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, coalesce(z.n, 0) AS n_bytes, round(lp, 3) AS log_prob, round(-lp / z.n / ln(2), 6) AS bits_per_byte "
+        "FROM h LEFT JOIN z USING (r) UNION ALL SELECT doc_id, 0, NULL, NULL FROM documents WHERE text IS NULL"
+    )
