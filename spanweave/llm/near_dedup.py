@@ -180,3 +180,20 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         edges = edges.unionByName(verified(cross))
     found = components(edges)
     return found.where("doc_id > root").select("doc_id", F.col("root").alias("keeper_id"))
+
+
+NEAR_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT DISTINCT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x01-\\x20]+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END) AS g
+  FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+e AS (
+  SELECT p.x, p.y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2) p
+  JOIN n m ON m.doc_id = p.x JOIN n o ON o.doc_id = p.y WHERE p.c >= {THRESHOLD} * (m.n + o.n - p.c)),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT x AS doc_id, min(y) AS keeper_id FROM r GROUP BY x HAVING min(y) < x
+"""

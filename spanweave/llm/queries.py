@@ -8,7 +8,7 @@ from .bwt_merge import repeated_intervals
 from .exact_dedup import EXACT_SQL, exact_dedup
 from .lempel_ziv import shared_factors
 from .mixing import mix
-from .near_dedup import near_groups
+from .near_dedup import NEAR_SQL, near_groups
 from .passages import SPANS_SQL
 from .quality import passing_ids
 from .segmentation import encode
@@ -81,4 +81,4 @@ QUERIES = {
         op10_exact_dedup,
     )
 }
-ORACLES = {"op1_suffix_tree_scores": tree_sql(), "op4_suffix_array_dedup": SPANS_SQL, "op6_substring_dedup": SPANS_SQL, "op10_exact_dedup": EXACT_SQL}
+ORACLES = {"op1_suffix_tree_scores": tree_sql(), "op3_near_dedup": NEAR_SQL, "op4_suffix_array_dedup": SPANS_SQL, "op6_substring_dedup": SPANS_SQL, "op10_exact_dedup": EXACT_SQL}
