@@ -1,0 +1 @@
+"""Rule-driven span analytics on PySpark."""

@@ -438,7 +438,7 @@ class RuleSet:
             value = (frozenset(x.lower() if "i" in flags else x for x in members), "i" in flags, "s" in flags)
             self.rules[s.name] = Rule(s.name, "test", Node("member", value=value))
         else:
-            path = self.find(text if Path(text).suffix else text + ".vrules") if text else None
+            path = self.find(text if Path(text).suffix else text + ".rules") if text else None
             if path is None:
                 raise RuleError("nothing to import")
             child = RuleSet(parent=self, base=path.parent, strict=self.strict, redefine=self.redefine)

@@ -11,7 +11,7 @@ from .functions import text as T
 from .operators import outputs as O
 from .operators import spans as A
 from .operators import stats as S
-from .plans.extract import extract, test_column, token_spans
+from .plans.extract import extract, token_spans
 from .plans.lang import RuleSet
 
 RULES = RuleSet(

@@ -59,25 +59,25 @@ def test_conllu_with_rules(spark):
     sents = read(spark, "conllu_string", CONLLU, name="s")
     (r,) = sents.collect()
     assert r.doc_id == "s:d" and r.tokens == ["Rita", "bought", "an", "apple", "."] and r.offsets == [0, 5, 12, 15, 20]
-    rules = RuleSet("c <- clauses.vrules", strict=True)
+    rules = RuleSet("c <- clauses.rules", strict=True)
     found = extract(sents, rules, ["c.nominal", "c.acts", "c.agent"], id_type="string").collect()
     got = {(x.rule, x.begin, x.end) for x in found}
     assert ("c.nominal", 0, 1) in got and ("c.nominal", 2, 4) in got and ("c.acts", 0, 3) in got and ("c.agent", 0, 3) in got
 
 
 def test_libraries_load():
-    for f in LIBRARY.glob("*.vrules"):
+    for f in LIBRARY.glob("*.rules"):
         assert RuleSet.from_file(f, strict=True).names()
 
 
 def test_imports_and_lexicons(spark, tmp_path):
-    (tmp_path / "other.vrules").write_text("t : {b}")
+    (tmp_path / "other.rules").write_text("t : {b}")
     (tmp_path / "lex.json").write_text('{"one": ["a"], "two": ["b"]}')
     (tmp_path / "words.txt").write_text("a\nb\n")
     (tmp_path / "phrases.txt").write_text("Hello!\nHi there.\n\n")
     (tmp_path / "labels.txt").write_text("a\nb\n")
     (tmp_path / "clusters.txt").write_text("7\n8\n")
-    rules = RuleSet("o <- other.vrules\nj <- j{lex.json}\nw <- {words.txt}\nf : f{words.txt}i\nc <- c{labels.txt;clusters.txt}\nL L-> phrases.txt\nx : &o.t or &j.one or &c.8", base=tmp_path)
+    rules = RuleSet("o <- other.rules\nj <- j{lex.json}\nw <- {words.txt}\nf : f{words.txt}i\nc <- c{labels.txt;clusters.txt}\nL L-> phrases.txt\nx : &o.t or &j.one or &c.8", base=tmp_path)
     rules.errors or None
     sents = spark.createDataFrame([(1, 0, ["a", "b", "c"])], "doc_id long, sent_id int, tokens array<string>")
     n = lambda name: extract(sents, rules, [name]).count()
