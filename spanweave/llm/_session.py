@@ -47,10 +47,12 @@ def doc_view(docs: DataFrame, *names: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, losers: DataFrame) -> DataFrame:
     """`docs` without the rows whose doc_id is in `losers` (doc_id), and one row of each repeated doc_id with
-    the same text.  Rows without a doc_id stay.  Text is not shuffled but for the rows of repeated doc_ids.
+    the same text.  Rows without a doc_id stay.  Without repeated doc_ids one join by doc_id is all that moves texts.
     """
-    ids = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    ids = cut(docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     kept = docs.join(losers.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    if not ids.take(1):
+        return kept
     once = kept.join(ids, "doc_id", "left_anti").select(*docs.columns)
     again = kept.join(ids, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(again)
