@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ._session import cut, fresh
 
-BUDGET_SHARE, EPOCHS, TEMPERATURE, PLAN_ROWS, SEED = 0.8, 4, 0.7, 200_000, 17
+BUDGET_SHARE, EPOCHS, TEMPERATURE, PLAN_ROWS, SEED = 0.8, 4, 0.7, 50_000, 17
 
 
 class Flow:
