@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ._session import cut
 
-K, LEAF, PER_SHARD, FACTOR = 10, 128, 32_768, 0.9
+K, LEAF, PER_SHARD, FACTOR = 10, 512, 16_384, 0.9
 QUERY_ROWS = 2_048
 
 
@@ -56,13 +55,19 @@ class Tree:
                 at = n[0]
                 d = distances(q[rows], sq[rows], self.x[at], self.sq[at])
                 d[own[rows][:, None] == self.ids[at][None, :]] = np.inf
-                d = np.concatenate([best_d[rows], d], axis=1)
-                i = np.concatenate([best_i[rows], np.broadcast_to(self.ids[at], (len(rows), len(at)))], axis=1)
-                if d.shape[1] > 4 * k:
-                    pick = np.argpartition(d, 2 * k, axis=1)[:, : 2 * k]
-                    d, i = np.take_along_axis(d, pick, 1), np.take_along_axis(i, pick, 1)
+                # only queries with a point as near as their k-th so far go on
+                closer = (d <= best_d[rows, -1:]) & (d < np.inf)
+                some = np.flatnonzero(closer.any(axis=1))
+                if not len(some):
+                    return
+                r, d, closer = rows[some], d[some], closer[some]
+                i, width = np.broadcast_to(self.ids[at], d.shape), int(closer.sum(axis=1).max())
+                if 2 * width < d.shape[1]:
+                    pick = np.argpartition(~closer, width - 1, axis=1)[:, :width]
+                    d, i = np.take_along_axis(np.where(closer, d, np.inf), pick, 1), np.take_along_axis(i, pick, 1)
+                d, i = np.concatenate([best_d[r], d], axis=1), np.concatenate([best_i[r], i], axis=1)
                 pick = np.lexsort((i, d), axis=1)[:, :k]
-                best_d[rows], best_i[rows] = np.take_along_axis(d, pick, 1), np.take_along_axis(i, pick, 1)
+                best_d[r], best_i[r] = np.take_along_axis(d, pick, 1), np.take_along_axis(i, pick, 1)
                 return
             v, mu, inner, outer, a, b = n
             d = distances(q[rows], sq[rows], self.x[v : v + 1], self.sq[v : v + 1])[:, 0]
