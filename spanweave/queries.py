@@ -11,6 +11,7 @@ from .functions import text as T
 from .operators import outputs as O
 from .operators import spans as A
 from .operators import stats as S
+from .plans.engine import MAX_PHRASE
 from .plans.extract import extract, token_spans
 from .plans.lang import RuleSet
 
@@ -156,8 +157,10 @@ def _rule_query(rule: str, sql: str):
 
 
 def _islands(test: str, least: int = 1) -> str:
-    return f"""g AS (SELECT doc_id, sent_id, pos, pos - row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS g FROM t WHERE {TESTS[test]})
-SELECT doc_id, sent_id, min(pos)::INT AS "begin", (max(pos) + 1)::INT AS "end" FROM g GROUP BY doc_id, sent_id, g HAVING count(*) >= {least}"""
+    """Runs of a test; a phrase has at most 300 tokens, so longer runs are cut there."""
+    return f"""g AS (SELECT doc_id, sent_id, pos, pos - row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS g FROM t WHERE {TESTS[test]}),
+h AS (SELECT doc_id, sent_id, pos, g, (pos - min(pos) OVER (PARTITION BY doc_id, sent_id, g)) // {MAX_PHRASE} AS part FROM g)
+SELECT doc_id, sent_id, min(pos)::INT AS "begin", (max(pos) + 1)::INT AS "end" FROM h GROUP BY doc_id, sent_id, g, part HAVING count(*) >= {least}"""
 
 
 def _at(i: int) -> str:
