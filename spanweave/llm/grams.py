@@ -66,22 +66,27 @@ def load(table: DataFrame, names: list[str]) -> HashIndex:
     return HashIndex(key, *[t[x].to_numpy().astype(np.float64) for x in names])
 
 
-def score(docs: DataFrame, table: DataFrame, depth: int, groups: dict[str, int] | None, names: tuple[str, str, str], second: bool = False, most: int = TABLE_ROWS) -> DataFrame:
+def score(docs: DataFrame, table: DataFrame, depth: int, groups: dict[str, int] | None, names: tuple[str, str, str], second: bool = False, most: int = TABLE_ROWS, sent: dict | None = None) -> DataFrame:
     """All rows and columns of `docs` and, from `table` (code, lp[, lp2]): the sum of lp over the bytes of the
     text, the number of bytes, and (with `second`) the greatest sum of lp2 - lp over a word; null without bytes.
 
     The table goes to the executors if it has at most `most` rows.  A larger one goes there in parts of that
     size by a hash of the code, one after the other, and each adds its share to the sums of texts and words.
+    `sent` keeps what was sent, for another call with the same table.
     """
+    sent = {} if sent is None else sent
     spark, bits = docs.sparkSession, 8 * (depth + 1)
-    parts = max(1, -(-table.count() // most))
+    parts = sent.get("parts") or max(1, -(-table.count() // most))
+    sent["parts"] = parts
     lower = [c.lower() for c in docs.columns]
     text_at, grp_at = lower.index("text"), lower.index("lang") if groups is not None else None
     schema = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], LongType()), StructField(names[2], ArrayType(DoubleType()) if parts > 1 else DoubleType())])
     out = docs
     for part in range(parts):
         piece = table if parts == 1 else table.where(F.pmod(F.xxhash64("code"), F.lit(parts)) == part)
-        index = spark.sparkContext.broadcast(load(piece, ["lp", "lp2"] if second else ["lp"]))
+        if part not in sent:
+            sent[part] = spark.sparkContext.broadcast(load(piece, ["lp", "lp2"] if second else ["lp"]))
+        index = sent[part]
 
         def run(it: Iterator[pa.RecordBatch], index=index, added=part > 0) -> Iterator[pa.RecordBatch]:
             ix = index.value
