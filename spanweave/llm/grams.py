@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from ._batch import HashIndex, Tally, byte_codes, chunks, words
+from ._batch import Chunk, HashIndex, Tally, byte_codes, chunks, mix, words
 
 TABLE_ROWS = 4_000_000
 
@@ -66,9 +66,10 @@ def load(table: DataFrame, names: list[str]) -> HashIndex:
     return HashIndex(key, *[t[x].to_numpy().astype(np.float64) for x in names])
 
 
-def score(docs: DataFrame, table: DataFrame, depth: int, groups: dict[str, int] | None, names: tuple[str, str, str], second: bool = False, most: int = TABLE_ROWS, sent: dict | None = None) -> DataFrame:
+def score(docs: DataFrame, table: DataFrame, depth: int, groups: dict[str, int] | None, names: tuple[str, str, str], second: bool = False, most: int = TABLE_ROWS, sent: dict | None = None, marks: HashIndex | None = None) -> DataFrame:
     """All rows and columns of `docs` and, from `table` (code, lp[, lp2]): the sum of lp over the bytes of the
     text, the number of bytes, and (with `second`) the greatest sum of lp2 - lp over a word; null without bytes.
+    With `marks`, values by key of `word_keys`, the third is the greatest value of a word instead, 0 without any.
 
     The table goes to the executors if it has at most `most` rows.  A larger one goes there in parts of that
     size by a hash of the code, one after the other, and each adds its share to the sums of texts and words.
@@ -80,7 +81,10 @@ def score(docs: DataFrame, table: DataFrame, depth: int, groups: dict[str, int]
     sent["parts"] = parts
     lower = [c.lower() for c in docs.columns]
     text_at, grp_at = lower.index("text"), lower.index("lang") if groups is not None else None
-    schema = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], LongType()), StructField(names[2], ArrayType(DoubleType()) if parts > 1 else DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], LongType()), StructField(names[2], ArrayType(DoubleType()) if parts > 1 and marks is None else DoubleType())])
+    if marks is not None and "marks" not in sent:
+        sent["marks"] = spark.sparkContext.broadcast(marks)
+    marked = sent.get("marks")
     out = docs
     for part in range(parts):
         piece = table if parts == 1 else table.where(F.pmod(F.xxhash64("code"), F.lit(parts)) == part)
@@ -96,11 +100,18 @@ def score(docs: DataFrame, table: DataFrame, depth: int, groups: dict[str, int]
                     total, by_word, word_rows = _sums(c, ix, depth, bits, grp, second)
                     rows, none = batch.slice(c.first, c.last - c.first), c.lengths == 0
                     cols = list(rows.columns)
-                    if added:
+                    if marked is not None:
+                        peak = cols[-1] if added else pa.array(_greatest(c, marked.value, grp), mask=none)
+                    if added and marked is not None:
+                        total = total + np.nan_to_num(cols[-3].to_numpy(zero_copy_only=False))
+                        cols = cols[:-3]
+                    elif added:
                         total = total + np.nan_to_num(cols[-3].to_numpy(zero_copy_only=False))
                         by_word = by_word + cols[-1].flatten().to_numpy()
                         cols = cols[:-3]
-                    if parts > 1:
+                    if marked is not None:
+                        pass
+                    elif parts > 1:
                         peak = pa.ListArray.from_arrays(pa.array(word_rows.astype(np.int32)), pa.array(by_word))
                     else:
                         most_, some = np.full(len(none), np.nan), np.flatnonzero(np.diff(word_rows) > 0)
@@ -111,7 +122,42 @@ def score(docs: DataFrame, table: DataFrame, depth: int, groups: dict[str, int]
                     yield pa.RecordBatch.from_arrays(cols, schema.names)
 
         out = out.mapInArrow(run, schema)
-    return out if parts == 1 else out.withColumn(names[2], F.array_max(names[2]))
+    return out if parts == 1 or marks is not None else out.withColumn(names[2], F.array_max(names[2]))
+
+
+def word_keys(hashes: np.ndarray, groups: np.ndarray | None) -> np.ndarray:
+    """Keys of words by their hashes and the group number of each."""
+    return hashes if groups is None else mix(hashes + groups * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _greatest(c: Chunk, marks: HashIndex, grp: np.ndarray | None) -> np.ndarray:
+    w = words(c)
+    counts, out = np.diff(w.row_starts), np.zeros(len(c.starts) - 1)
+    at = marks.find(word_keys(w.hashes, None if grp is None else np.repeat(grp, counts)))
+    some = np.flatnonzero(counts)
+    if len(some) and len(marks.h):
+        out[some] = np.maximum.reduceat(np.where(at >= 0, marks.values[0][at], 0.0), w.row_starts[some])
+    return out
+
+
+def word_documents(docs: DataFrame, groups: dict[str, int]) -> DataFrame:
+    """(m, g, key, n): in how many texts of `docs` (m, text, lang) each word stands, by group and under group 0 too."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for c in chunks(batch.column(1)):
+                w, kind = words(c), batch.column(0).slice(c.first, c.last - c.first).to_numpy()
+                row = np.repeat(np.arange(len(kind)), np.diff(w.row_starts))
+                order = np.lexsort((w.hashes, row))
+                a, b = row[order], w.hashes[order]
+                first = order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]] if len(order) else order
+                row, hashes = row[first], w.hashes[first]
+                own = group_codes(batch.column(2), groups, c.first, c.last)[row]
+                for g, use in ((own, own > 0), (np.zeros_like(own), np.ones(len(own), bool))):
+                    keys = word_keys(hashes, g)[use]
+                    yield pa.RecordBatch.from_arrays([pa.array(kind[row[use]].astype(np.int32)), pa.array(g[use].astype(np.int32)), pa.array(keys.view(np.int64))], ["m", "g", "key"])
+
+    return docs.select("m", "text", "lang").mapInArrow(run, "m int, g int, key long").groupBy("m", "g", "key").agg(F.count("*").alias("n"))
 
 
 def _sums(c, ix: HashIndex, depth: int, bits: int, grp: np.ndarray | None, second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
