@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -45,3 +46,10 @@ def test_toxic_by_language(unseen):
     recall, rate = 1 - toxic.groupby("lang").kept.mean(), clean.groupby("lang").kept.mean()
     assert set(recall.index) == {"de", "en", "es", "fr"}
     assert recall.min() > 0.6 and rate.min() > 0.9
+
+
+def test_clean_by_length(unseen):
+    clean = unseen[(unseen.toxic == 0) & (unseen.quality == 1)]
+    rate = clean.groupby(pd.cut(clean.words, [0, 20, 100, 500, 10**9]), observed=True).kept.agg(["mean", "sum", "count"])
+    print(rate)
+    assert rate["mean"].min() > 0.9
