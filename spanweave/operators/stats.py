@@ -139,10 +139,12 @@ def rank_clusters(xb: DataFrame, terms: list[str], limit: int = 50) -> DataFrame
 
 
 def rank_documents(xy: DataFrame, terms: list[str], limit: int = 100) -> DataFrame:
-    """Documents by the sum of the PMI of terms with them, weighted by share of counts."""
+    """Documents by the sum of the PMI of terms with them, weighted by share of counts; all documents kept."""
     assoc = pmi(xy).where(F.col("x").isin(terms))
     total = assoc.groupBy("x").agg(F.sum("n").alias("t"))
-    return assoc.join(total, "x").groupBy("y").agg(F.sum(F.col("pmi") * F.col("n") / F.col("t")).alias("score")).orderBy(F.desc("score"), "y").limit(limit)
+    score = assoc.join(total, "x").groupBy("y").agg(F.sum(F.col("pmi") * F.col("n") / F.col("t")).alias("score"))
+    every = xy.select("y").distinct()
+    return every.join(score, "y", "left").select("y", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "y").limit(limit)
 
 
 def cluster_counts(xy: DataFrame, xa: DataFrame, yb: DataFrame) -> DataFrame:
