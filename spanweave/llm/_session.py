@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,16 +45,40 @@ def doc_view(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(n) if n.lower() in have else F.lit(None).cast("string").alias(n) for n in names])
 
 
+def integral(df: DataFrame, column: str = "doc_id") -> bool:
+    return df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
+def text_key(text: str | Column = "text") -> Column:
+    """The SHA-256 digest of a text, 32 bytes."""
+    return F.unhex(F.sha2(F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary"), 256))
+
+
+def numbered(docs: DataFrame, *columns: str) -> DataFrame:
+    """(v, *columns): the distinct rows of `columns` without nulls, each with a long `v` that orders them alike.
+
+    Written once in that order, by ranges, so that the numbers stay what they are.
+    """
+    rows = docs.select(*columns).dropna().distinct().orderBy(*columns)
+    return cut(rows.select(F.monotonically_increasing_id().alias("v"), *columns))
+
+
 def keep_one(docs: DataFrame, losers: DataFrame) -> DataFrame:
-    """`docs` without the rows whose doc_id is in `losers` (doc_id), and one row of each repeated doc_id with
-    the same text.  Rows without a doc_id stay.  Without repeated doc_ids one join by doc_id is all that moves texts.
+    """`docs` without the rows whose doc_id and text are in `losers` (doc_id, digest), and one row of each repeated
+    doc_id with the same text.  Another text of the same doc_id stays, and so do rows without a doc_id or text.
+    A null digest stands for every text of that doc_id.
     """
+    digest = fresh(docs, "_digest")
+    lost = losers.select("doc_id", F.col("digest").alias(digest)).distinct()
     ids = cut(docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = docs.join(losers.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    if not ids.take(1):
-        return kept
+    if not ids.take(1):  # then a doc_id has one text, and the join needs no digests
+        return docs.join(lost.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn(digest, text_key())
+    by_text = lost.where(F.col(digest).isNotNull())
+    kept = keyed.join(by_text, ["doc_id", digest], "left_anti")
+    kept = kept.join(lost.where(F.col(digest).isNull()).select("doc_id"), "doc_id", "left_anti")
     once = kept.join(ids, "doc_id", "left_anti").select(*docs.columns)
-    again = kept.join(ids, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    again = kept.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", digest]).select(*docs.columns)
     return once.unionByName(again)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batch import chunks, gram_hashes, mix, words
-from ._session import cut
+from ._session import cut, integral, numbered, text_key
 
 COORDINATES, BANDS, SHINGLE, THRESHOLD = 128, 32, 3, 0.5
 _ROUND = 0xA24BAED4963EE407
@@ -132,28 +132,56 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
+def near_losers(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, digest, keeper_id): each text of a doc_id that has a near copy that stays; see `near_groups`.
+
+    The digest is null where no doc_id has more than one text.
+    """
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    several = rows.groupBy("doc_id").agg(F.min(text_key()).alias("lo"), F.max(text_key()).alias("hi")).where("lo <> hi")
+    if integral(docs) and not several.take(1):
+        texts, names = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
+    else:
+        keyed = rows.withColumn("digest", text_key())
+        names = numbered(keyed, "doc_id", "digest")
+        texts = keyed.join(names, ["doc_id", "digest"]).select(F.col("v").alias("doc_id"), "text")
+    found = _groups(texts, threshold)
+    if names is None:
+        return found.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("binary").alias("digest"), F.col("root").cast(docs.schema["doc_id"].dataType).alias("keeper_id"))
+    keeper = names.select(F.col("v").alias("root"), F.col("doc_id").alias("keeper_id"))
+    return found.withColumnRenamed("doc_id", "v").join(names, "v").join(keeper, "root").select("doc_id", "digest", "keeper_id")
+
+
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Near copies and the document that stays: (doc_id, keeper_id), one row for each document to remove.
 
     Two documents are near copies if the Jaccard similarity of their sets of word 3-shingles (ASCII letters in
     lower case) is at least `threshold`; groups are the connected components of that relation among the
-    candidates, and the smallest doc_id of a group stays.  Candidates share one of 32 bands of 4 coordinates of
-    a sketch of 128; pairs of similarity 0.6 meet with a probability of 0.99.  All of them are verified on the
-    whole texts, with one exception that can't change a group: two documents that verified pairs already
-    connect.  For that, documents with equal shingle sets are joined first, each band's members are verified
-    against its least one, and only pairs of a band that are still in different groups are verified after that.
+    candidates, and the smallest doc_id of a group stays.  Candidates share one of `BANDS` bands of a sketch of
+    `COORDINATES`.  All of them are verified on the whole shingle sets, as 64-bit hashes of the shingles, with one
+    exception that can't change a group: two documents that verified pairs already connect.  For that, documents
+    with equal shingle sets are joined first, each band's members are verified against its least one, and only
+    pairs of a band that are still in different groups are verified after that.
 
     Nulls: rows with a null doc_id or text, and texts without a word, belong to no group.  Texts shorter than
-    three words are one shingle.  Repeated rows count once.  Further columns are ignored; an empty table gives
-    an empty result.
+    three words are one shingle.  Very long texts are sketched and verified whole.  Repeated rows count once.  A
+    doc_id may be of any type that has an order; one with several texts takes part with each of them, is listed
+    if one of them goes, and `keep_one` then removes that text alone.  Further columns are ignored; an empty
+    table gives an empty result.
     """
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = near_losers(docs, threshold).where("doc_id <> keeper_id")
+    return found.groupBy("doc_id").agg(F.min("keeper_id").alias("keeper_id"))
+
+
+def _groups(texts: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, root) of all texts (doc_id long, text) that aren't the least of their group."""
     signed = cut(texts.mapInArrow(_signatures, "doc_id long, content string, bands array<long>"))
     same = signed.groupBy("content").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top"))
     equal = signed.join(same.where("top > b"), "content").where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct()
     one = signed.join(same, "content").where("doc_id = b").select("doc_id", "bands").dropDuplicates(["doc_id"])
-    members = one.select("doc_id", F.explode("bands").alias("band"))
-    buckets = cut(members.groupBy("band").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).where("size(ids) > 1").select("ids").distinct())
+    members = one.select("doc_id", F.explode(F.array_distinct("bands")).alias("band"))
+    heads = members.groupBy("band").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("top > b").select("band", "b")
+    members = cut(members.join(heads, "band").select("band", "doc_id", "b"))  # a hot band stays many rows, a head each
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -163,23 +191,20 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         return cut(pairs.mapInArrow(lambda it: _verify(it, threshold), "a long, b long"))
 
-    star = buckets.select(F.element_at("ids", 1).alias("b"), F.explode(F.slice("ids", F.lit(2), F.size("ids"))).alias("a")).distinct().select("a", "b")
-    star = cut(star)
+    star = cut(members.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
     good = verified(star)
     roots = components(good)
-    rest = buckets.withColumn("k", F.monotonically_increasing_id()).select("k", F.explode("ids").alias("doc_id"))
-    rest = rest.join(roots, "doc_id", "left").select("k", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    split = rest.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
-    rest = cut(rest.join(split, "k", "left_semi"))
-    x = rest.select("k", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-    y = rest.select("k", F.col("doc_id").alias("a"), F.col("root").alias("ra"))
-    cross = x.join(y, "k").where("a > b and ra <> rb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    rest = members.join(roots, "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    split = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    rest = cut(rest.join(split, "band", "left_semi"))
+    x = rest.select("band", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
+    y = rest.select("band", F.col("doc_id").alias("a"), F.col("root").alias("ra"))
+    cross = x.join(y, "band").where("a > b and ra <> rb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     cross = cut(cross)
     edges = equal.unionByName(good)
     if cross.take(1):
         edges = edges.unionByName(verified(cross))
-    found = components(edges)
-    return found.where("doc_id > root").select("doc_id", F.col("root").alias("keeper_id"))
+    return components(edges).where("doc_id > root")
 
 
 NEAR_SQL = f"""

@@ -9,9 +9,9 @@ import pytest
 
 from spanweave.llm._session import keep_one
 from spanweave.llm.bwt_merge import merge, repeated_intervals, shard_transform
-from spanweave.llm.exact_dedup import EXACT_SQL, PerfectHash, exact_dedup
+from spanweave.llm.exact_dedup import EXACT_SQL, PerfectHash, exact_dedup, exact_losers
 from spanweave.llm.lempel_ziv import shared_factors
-from spanweave.llm.near_dedup import COORDINATES, components, near_groups, sketch
+from spanweave.llm.near_dedup import COORDINATES, components, near_groups, near_losers, sketch
 from spanweave.llm.passages import SPANS_SQL, WINDOW
 
 
@@ -97,12 +97,37 @@ def test_exact_against_history(spark, odd):
 
 
 def test_keep_one(odd):
-    kept = keep_one(odd, exact_dedup(odd))
+    kept = keep_one(odd, exact_losers(odd))
     assert kept.columns == odd.columns
     ids = sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None)
     assert ids == [1, 3, 4, 5, 7, 8, 10, 11, 12, 13]
 
 
+SEVERAL = [("1", "a b c d"), ("2", "a b c d"), ("2", "quite another text here"), ("2", "quite another text here"), ("3", "a b c d e"), (None, "a b c d"), ("4", None)]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_several_texts_of_one_id(spark, kind):
+    """Only the copied text of a doc_id goes, whatever the type of the ids."""
+    docs = spark.createDataFrame(SEVERAL, "doc_id string, text string").selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+    assert {(str(a), str(b)) for a, b in pairs(exact_dedup(docs))} == {("2", "1")}
+    left = sorted((str(r.doc_id), r.text or "") for r in keep_one(docs, exact_losers(docs)).collect())
+    assert left == [("1", "a b c d"), ("2", "quite another text here"), ("3", "a b c d e"), ("4", ""), ("None", "a b c d")]
+    assert {(str(a), str(b)) for a, b in pairs(near_groups(docs))} == {("2", "1"), ("3", "1")}
+    left = sorted((str(r.doc_id), r.text or "") for r in keep_one(docs, near_losers(docs)).collect())
+    assert left == [("1", "a b c d"), ("2", "quite another text here"), ("4", ""), ("None", "a b c d")]
+
+
+def test_perfect_hash_of_alike_digests():
+    """Digests that agree in all but their first word are told apart; none is left to a list in practice."""
+    d = np.zeros((2000, 32), np.uint8)
+    d.view("<u8").reshape(-1, 4)[:, 0] = np.arange(2000)
+    h = PerfectHash(d)
+    assert sorted(h.slots) == list(range(2000)) and (h.slot(d) == h.slots).all() and not h.rest
+    h = PerfectHash(np.repeat(d[:1], 2, axis=0))
+    assert sorted(h.slots) == [0, 1] and len(h.rest) == 1
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 62, 900).astype(np.uint64)
