@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanweave.llm._session import keep_one, stored
-from spanweave.llm.exact_dedup import exact_dedup
+from spanweave.llm.exact_dedup import exact_losers
 from spanweave.llm.mixing import mix
-from spanweave.llm.near_dedup import near_groups
+from spanweave.llm.near_dedup import near_losers
 from spanweave.llm.quality import classify
 from spanweave.llm.queries import PIECES
 from spanweave.llm.segmentation import encode
@@ -19,13 +19,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays, that of the smallest doc_id; rows without a doc_id or text stay."""
-    return keep_one(docs, exact_dedup(docs))
+    """One document of each text stays, that of the smallest doc_id; other texts of a repeated doc_id, rows without a doc_id or text stay."""
+    return keep_one(docs, exact_losers(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays; rows without a doc_id or text stay."""
-    return keep_one(docs, near_groups(docs))
+    """One document of each group of near copies stays; other texts of a repeated doc_id, rows without a doc_id or text stay."""
+    return keep_one(docs, near_losers(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
