@@ -30,10 +30,13 @@ def range_hashes(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
 
 
 class UnitCache:
-    """For each distinct unit an array of integers, made once by `make` and kept up to `most` units."""
+    """For each distinct unit an array of integers, made once by `make` and kept up to `most` units or `values` integers.
 
-    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, ...]], columns: int, most: int = 700_000):
-        self.make, self.columns, self.most = make, columns, most
+    Units are known again by a 64-bit hash; their texts aren't kept.  What is kept only saves time.
+    """
+
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, ...]], columns: int, most: int = 700_000, values: int = 12_000_000):
+        self.make, self.columns, self.most, self.values = make, columns, most, values
         self.generation = 0
         self.clear()
 
@@ -47,7 +50,7 @@ class UnitCache:
 
     def places(self, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The place in the cache of each unit points[begin:end]."""
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or self.used > self.values:
             self.clear()
         keys, first, back = np.unique(range_hashes(points, begin, end), return_index=True, return_inverse=True)
         got = np.array([self.known.get(k, -1) for k in keys.tolist()], np.int64)

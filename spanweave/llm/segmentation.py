@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from ._session import doc_view
 from ._units import UnitCache, code_points, range_hashes
 
 NBEST = 4
+LONG = 2048
 SPACE = 0x2581
 _state: dict = {}
 
@@ -23,15 +25,17 @@ class Lattice:
     """The pieces of a SentencePiece model with their log probabilities, and lattices over units of text.
 
     A unit is a run of spaces with the text up to the next space; no piece has a space after another sign, so
-    the best path of a text is that of its units.  Models of merges give ranks instead of probabilities; Zipf's
-    law makes them -ln((rank + 1) · H).  A sign without a piece costs 10 more than the worst piece and is
-    written as its bytes.
+    the best path of a text is that of its units, and so are the model's own ids.  Models of merges give ranks
+    instead of probabilities; Zipf's law makes them -ln((rank + 1) · H).  A sign without a piece costs 10 more than
+    the worst piece and is written as its bytes.  Scores are rounded to multiples of 2^-20, so that sums are exact
+    and equal paths tie.
     """
 
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = sp
         ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.names = {i: sp.id_to_piece(i) for i in ids}
         if any("▁" in p.lstrip("▁") for p in self.names.values()):
@@ -42,6 +46,7 @@ class Lattice:
             rank = np.empty(len(ids))
             rank[order] = np.arange(1, len(ids) + 1)
             raw = -np.log(rank * (math.log(len(ids)) + 0.5772156649))
+        raw = np.round(raw * 2.0**20) / 2.0**20
         self.score = {self.names[i]: (float(s), i) for i, s in zip(ids, raw)}
         self.unknown = float(raw.min()) - 10.0
         self.byte_id = {b: sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
@@ -63,18 +68,36 @@ class Lattice:
     def fallback(self, sign: str) -> list[int]:
         return [self.byte_id[b] for b in sign.encode("utf-8", "replace")]
 
-    def best(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Token ids of the best path of each unit, their number, its score, and how much the second best loses.
+    def own(self, units: list[str]) -> list[list[int]]:
+        """The model's own ids of each unit; the library puts the first space there itself."""
+        done = self.model.encode([u[1:] for u in units], num_threads=1)
+        return [x if len(u) > 1 else [self.score["▁"][1]] for u, x in zip(units, done)]
+
+    def segment(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each unit its own ids and then the best path's, the number of both, the best path's score, what the
+        second best loses, and the number of own ids."""
+        own, (paths, score, gap) = self.own(units), self.best(units)
+        flat = [i for x, y in zip(own, paths) for i in (*x, *y)]
+        first = np.array([len(x) for x in own])
+        return np.array(flat, np.int32), first + np.array([len(y) for y in paths]), score, gap, first
+
+    def best(self, units: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """Token ids of the best path of each unit, its score, and how much the second best loses.
 
         Forward and backward Viterbi over many units at once; the second best path is the best one through an
         edge that the best path doesn't use.  Among equal paths that with the longest last piece wins, and so
-        on towards the beginning.
+        on towards the beginning.  Units of more than LONG signs are searched one by one, in linear space.
         """
         out: list = [None] * len(units)
         score, gap = np.zeros(len(units)), np.zeros(len(units))
         by_size: dict[int, list[int]] = {}
         for k, u in enumerate(units):
             n = len(u)
+            if n > LONG:
+                found = self.nbest(u, 2)
+                out[k], score[k] = found[0][1], found[0][0]
+                gap[k] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
+                continue
             by_size.setdefault(n if n <= 24 else 1 << (n - 1).bit_length(), []).append(k)
         for size, members in by_size.items():
             step = max(1, 400_000 // (size * self.longest))
@@ -84,7 +107,7 @@ class Lattice:
                 score[some], gap[some] = s, g
                 for k, p in zip(some, paths):
                     out[k] = p
-        return np.array([i for p in out for i in p], np.int32), np.array([len(p) for p in out], np.int64), score, gap
+        return out, score, gap
 
     def _viterbi(self, units: list[str], size: int):
         m, longest = len(units), min(self.longest, size)
@@ -147,30 +170,57 @@ class Lattice:
         return found, total, np.maximum(total - second, 0.0)
 
     def nbest(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best paths of a unit, best first: A* from its end, led by the exact forward Viterbi scores."""
-        u = unit.replace(" ", "▁")
-        into: list[list[tuple[int, float, list[int]]]] = [[] for _ in range(len(u) + 1)]
-        fwd = [0.0] + [-math.inf] * len(u)
+        """The n best paths of a unit, best first: A* from its end, led by the exact forward Viterbi scores.
+
+        A path waits with the next best way into the place that it came from, so that a step adds two paths to the
+        queue and not one for each piece; among equal scores the path that is nearer to the beginning goes on.
+        Every path taken from the queue completes to one of its score: at most n times the length are taken.
+        """
+        u, known, longest = unit.replace(" ", "▁"), self.score, self.longest
+        fwd = array("d", [-math.inf]) * (len(u) + 1)
+        fwd[0] = 0.0
         for t in range(1, len(u) + 1):
-            for s in range(max(0, t - self.longest), t):
-                if (e := self.score.get(u[s:t])) is not None:
-                    into[t].append((s, e[0], [e[1]]))
-                elif t - s == 1:
-                    into[t].append((s, self.unknown, self.fallback(unit[s])))
-            fwd[t] = max(fwd[s] + x for s, x, _ in into[t])
-        heap, out, made = [(-fwd[-1], 0, len(u), 0.0, None)], [], 0
+            top = -math.inf if u[t - 1] in known else fwd[t - 1] + self.unknown
+            for s in range(max(0, t - longest), t):
+                if (e := known.get(u[s:t])) is not None and fwd[s] + e[0] > top:
+                    top = fwd[s] + e[0]
+            fwd[t] = top
+        kids: dict[int, list[tuple[float, int]]] = {}
+
+        def ways(t: int) -> list[tuple[float, int]]:
+            """Where the pieces into `t` begin, the best first and the longest first among equals."""
+            if t not in kids:
+                found = [(fwd[s] + e[0], s) for s in range(max(0, t - longest), t) if (e := known.get(u[s:t])) is not None]
+                if u[t - 1] not in known:
+                    found.append((fwd[t - 1] + self.unknown, t - 1))
+                kids[t] = sorted(found, key=lambda x: (-x[0], x[1]))
+            return kids[t]
+
+        out: list[tuple[float, list[int]]] = []
+        if not u:
+            return [(0.0, [])]
+        heap, made = [], 0
+
+        def push(t: int, done: float, tail, k: int) -> None:
+            nonlocal made
+            if k < len(way := ways(t)):
+                made += 1
+                heapq.heappush(heap, (-(done + way[k][0]), way[k][1], made, t, done, tail, k))
+
+        push(len(u), 0.0, None, 0)
         while heap and len(out) < n:
-            _, _, at, done, tail = heapq.heappop(heap)
-            if at == 0:
-                ids: list[int] = []
-                while tail:
-                    ids += tail[0]
-                    tail = tail[1]
-                out.append((done, ids))
+            _, s, _, t, done, tail, k = heapq.heappop(heap)
+            push(t, done, tail, k + 1)
+            e = known.get(u[s:t])
+            after = (s, t, tail)
+            if s:
+                push(s, done + (e[0] if e else self.unknown), after, 0)
                 continue
-            for s, x, i in into[at]:
-                made += 1
-                heapq.heappush(heap, (-(done + x + fwd[s]), made, s, done + x, (i, tail)))
+            ids: list[int] = []
+            while after:
+                a, b, after = after
+                ids += [e[1]] if (e := known.get(u[a:b])) is not None else self.fallback(unit[a])
+            out.append((done + (known[u[s:t]][0] if u[s:t] in known else self.unknown), ids))
         return out
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +244,7 @@ def decode(ids: list[int], model_path: str) -> str:
 def lattice(path: str) -> Lattice:
     if _state.get("path") != path:
         _state["path"], _state["lattice"] = path, Lattice(path)
-        _state["cache"] = UnitCache(_state["lattice"].best, 2)
+        _state["cache"] = UnitCache(_state["lattice"].segment, 3)
         _state["more"] = {}
     return _state["lattice"]
 
@@ -222,7 +272,7 @@ def combine(total: float, places: list[tuple[int, list[tuple[float, list[int]]]]
 
 
 def encode_chunk(c, lat: Lattice, cache: UnitCache, more: dict, n: int):
-    """Token ids and their number by text, score, N best by text, and the spaces-included units."""
+    """The model's token ids and their number by text, those of the best path alike, its score, and the N best by text."""
     p, starts = code_points(c)
     m = len(starts) - 1
     size = np.diff(starts)
@@ -240,11 +290,13 @@ def encode_chunk(c, lat: Lattice, cache: UnitCache, more: dict, n: int):
     place = cache.places(q, begin, end)
     text_of = np.searchsorted(begin_text[full], begin, "right") - 1
     row = np.flatnonzero(full)[text_of] if len(begin) else text_of
-    counts = np.zeros(m, np.int64)
-    np.add.at(counts, row, cache.size[place])
-    ids = cache.flat[spread(cache.start[place], cache.size[place])]
     first = np.searchsorted(row, np.arange(m + 1))
-    scores, gaps = cache.extra[0][place], cache.extra[1][place]
+    scores, gaps, own = cache.extra[0][place], cache.extra[1][place], cache.extra[2][place].astype(np.int64)
+    found = []
+    for a, k in ((cache.start[place], own), (cache.start[place] + own, cache.size[place] - own)):
+        counts = np.zeros(m, np.int64)
+        np.add.at(counts, row, k)
+        found += [cache.flat[spread(a, k)], counts]
     total, best = np.zeros(m), []
     for k in range(m):
         a, b = first[k], first[k + 1]
@@ -257,49 +309,66 @@ def encode_chunk(c, lat: Lattice, cache: UnitCache, more: dict, n: int):
         places = []
         for i in near.tolist():
             key = int(place[a + i]), cache.generation
-            if key not in more:
+            if (paths := more.get(key)) is None:
                 if len(more) > 200_000:
                     more.clear()
-                more[key] = lat.nbest(q[begin[a + i] : end[a + i]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), n)
-            places.append((i, more[key]))
+                paths = lat.nbest(q[begin[a + i] : end[a + i]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), n)
+                if end[a + i] - begin[a + i] <= 256:
+                    more[key] = paths
+            places.append((i, paths))
         best.append(combine(float(total[k]), places, n))
-    return ids, counts, total, best
+    return *found, total, best
 
 
 def encode(docs: DataFrame, model_path: str, n: int = NBEST) -> DataFrame:
-    """(doc_id, ids, n_tokens, score, n_best, round_trip) for each row of `docs`.
+    """(doc_id, ids, n_tokens, best_ids, score, n_best, round_trip) for each row of `docs`.
+
+    `ids` are the model's own token ids of the whole text, those that its library gives.  `best_ids` is the best
+    path over the piece lattice and `score` its log probability; `n_best` lists the `n` best ones, best first, each
+    with its score and the units in which it differs from `best_ids` (edits: number of the unit, its ids).  A unit's
+    alternatives come from A* search backward over its lattice; a text's from the units whose second best path
+    loses least.  `round_trip` says that decoding `ids` and `best_ids` gives the text again (the sign U+2581 counts
+    as the space that it stands for).
 
-    `ids` is the best segmentation of the whole text, `score` its log probability; `n_best` lists the `n` best
-    ones, best first, each with its score and the units in which it differs from `ids` (edits: number of the
-    unit, its ids).  A unit's alternatives come from A* search backward over its lattice; a text's from the
-    units whose second best path loses least.  `round_trip` says that decoding `ids` gives the text again (the
-    sign U+2581 counts as the space that it stands for).
+    Very long texts are encoded whole; a stretch without a space is one unit, searched in time linear in its
+    length.  Units are known again by a 64-bit hash.
 
     Nulls: a null text has null results; the empty text has no ids, score 0, and itself as only segmentation; a
-    null doc_id stays.  Among equal scores the longest last piece wins in `ids`, and the order in `n_best` is
+    null doc_id stays.  Among equal scores the longest last piece wins in `best_ids`, and the order in `n_best` is
     that of the search.  Repeated rows are rows like others.  Further columns are ignored; an empty table gives
     an empty result.
     """
     view = doc_view(docs, "doc_id", "text")
     kind = view.schema["doc_id"].dataType.simpleString()
     best_type = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("unit", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
-    schema = f"doc_id {kind}, ids array<int>, n_tokens long, score double, n_best array<struct<score double, edits array<struct<unit int, ids array<int>>>>>, round_trip boolean"
+    schema = f"doc_id {kind}, ids array<int>, n_tokens long, best_ids array<int>, score double, n_best array<struct<score double, edits array<struct<unit int, ids array<int>>>>>, round_trip boolean"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat, cache, more = worker_state(model_path)
         for batch in it:
             for c in chunks(batch.column(1)):
-                ids, counts, total, best = encode_chunk(c, lat, cache, more, n)
-                offs = np.r_[0, np.cumsum(counts)].astype(np.int32)
-                data, sizes = lat.decode(ids.astype(np.int64), counts)
-                ends = np.r_[0, np.cumsum(sizes)]
-                raw, out = c.data.tobytes(), data.tobytes()
-                same = [None if z else out[a:b] == raw[s:e].replace(b"\xe2\x96\x81", b" ") for z, a, b, s, e in zip(c.null, ends[:-1], ends[1:], c.starts[:-1], c.starts[1:])]
+                ids, counts, best_ids, best_counts, total, best = encode_chunk(c, lat, cache, more, n)
+                same, lists = ~c.null, []
+                for i, k in ((ids, counts), (best_ids, best_counts)):
+                    same = same & _round_trip(c, lat, i, k)
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(k)].astype(np.int32)), pa.array(i, pa.int32()), mask=pa.array(c.null)))
                 rows = [None if x is None else [{"score": round(s, 6), "edits": [{"unit": u, "ids": i} for u, i in e]} for s, e in x] for x in best]
-                lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(ids, pa.int32()), mask=pa.array(c.null))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c.first, c.last - c.first), lists, pa.array(counts, mask=c.null), pa.array(np.round(total, 6), mask=c.null), pa.array(rows, best_type), pa.array(same, pa.bool_())],
-                    ["doc_id", "ids", "n_tokens", "score", "n_best", "round_trip"],
+                    [batch.column(0).slice(c.first, c.last - c.first), lists[0], pa.array(counts, mask=c.null), lists[1], pa.array(np.round(total, 6), mask=c.null), pa.array(rows, best_type), pa.array(same, mask=c.null)],
+                    ["doc_id", "ids", "n_tokens", "best_ids", "score", "n_best", "round_trip"],
                 )
 
     return view.mapInArrow(run, schema)
+
+
+def _round_trip(c, lat: Lattice, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether the ids of each text give it again."""
+    data, sizes = lat.decode(ids.astype(np.int64), counts)
+    raw = c.data.tobytes()
+    if b"\xe2\x96\x81" not in raw and np.array_equal(sizes, c.lengths):
+        unequal = np.flatnonzero(data != c.data)
+        same = np.ones(len(sizes), bool)
+        same[np.searchsorted(c.starts, unequal, "right") - 1] = False
+        return same
+    ends, out = np.r_[0, np.cumsum(sizes)], data.tobytes()
+    return np.array([out[a:b] == raw[s:e].replace(b"\xe2\x96\x81", b" ") for a, b, s, e in zip(ends[:-1], ends[1:], c.starts[:-1], c.starts[1:])], bool)

@@ -15,8 +15,8 @@ from ._batch import chunks, spread
 from ._session import doc_view
 from ._units import UnitCache, code_points
 
-SHORT = 48
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CONTRACTIONS = {"'re", "'ve", "'ll"}
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _state: dict = {}
@@ -43,36 +43,52 @@ class PrefixCounter:
     """Exact counts at every prefix of a piece, by dynamic programming over its bytes.
 
     The encoding of a prefix ends in the one token t before which the encoding of the rest, ending in token u,
-    stays as it is: the pair u t must encode to itself.  So count[i] = count[i - |t|] + 1.  Prefixes of pieces
-    up to SHORT bytes are looked up by encoding them, which is cheaper than the pairs.
+    stays as it is: the pair u t must encode to itself.  So count[i] = count[i - |t|] + 1.  The tokens that end
+    at each byte come from one pass of an Aho-Corasick automaton, so the work is linear in the piece.
     """
 
     def __init__(self, path: str):
-        self.enc, self.ranks = encoding(path)
-        self.longest = max(map(len, self.ranks))
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        import ahocorasick
 
-    def stays(self, u: bytes, t: bytes) -> bool:
-        if (u, t) not in self.pairs:
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            self.pairs[u, t] = self.enc._encode_single_piece(u + t) == [self.ranks[u], self.ranks[t]]
-        return self.pairs[u, t]
+        self.enc, self.ranks = encoding(path)
+        self.tokens = {r: t for t, r in self.ranks.items()}
+        self.automaton = ahocorasick.Automaton()
+        for t, r in self.ranks.items():
+            self.automaton.add_word(t.decode("latin-1"), (r, len(t)))
+        self.automaton.make_automaton()
+        self.pairs: dict[int, bool] = {}
+
+    def stays(self, u: int, t: int) -> bool:
+        """Whether token t stays itself after token u (-1: at the beginning)."""
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        want = [t] if u < 0 else [u, t]
+        ok = self.enc._encode_single_piece(b"".join(self.tokens[x] for x in want)) == want
+        self.pairs[u << 20 | t] = ok
+        return ok
 
     def counts(self, piece: str) -> list[int]:
-        if len(piece.encode()) <= SHORT or piece[0] == "'":
-            return [len(self.enc.encode_ordinary(piece[:i])) for i in range(1, len(piece) + 1)]
+        if len(piece) == 3 and piece in CONTRACTIONS:  # before its last letter it is two pieces
+            sign, letter = self.counts(piece[0])[-1], self.counts(piece[1])[-1]
+            return [sign, sign + letter, self._programme(piece.encode())[-1]]
         data = piece.encode()
-        last, count = [b""] * (len(data) + 1), [0] * (len(data) + 1)
-        for i in range(1, len(data) + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = data[j:i]
-                if t in self.ranks and (not j or self.stays(last[j], t)):
-                    last[i], count[i] = t, count[j] + 1
-                    break
+        count = self._programme(data)
+        if len(data) == len(piece):
+            return count[1:]
         ends = np.flatnonzero((np.frombuffer(data, np.uint8)[1:] & 0xC0) != 0x80) + 1
         return [count[i] for i in [*ends.tolist(), len(data)]]
 
+    def _programme(self, data: bytes) -> list[int]:
+        last, count, pairs = [-1] * (len(data) + 1), [0] * (len(data) + 1), self.pairs
+        for end, (t, size) in self.automaton.iter(data.decode("latin-1")):
+            i = end + 1
+            if not count[i]:
+                u = last[i - size]
+                ok = pairs.get(u << 20 | t)
+                if ok or ok is None and self.stays(u, t):
+                    last[i], count[i] = t, count[i - size] + 1
+        return count
+
     def make(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [self.counts(x) for x in pieces]
         return np.array([y for x in found for y in x], np.int32), np.array([len(x) for x in found], np.int64)
@@ -186,7 +202,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, budgets: tuple[int, ...]
     `prefix_counts` holds the exact number of tokens of every prefix of the text, as steps (`unpack` reads it;
     `tokens_at` and `truncate_at` answer from it without encoding again).  cut_<budget> is the most characters
     whose tokens fit the budget.  Counts are those of encoding the prefix itself, also where it ends within a
-    word or within white space; they aren't monotone.
+    word or within white space; they aren't monotone.  Pieces (words, runs of signs) are counted once each
+    and known again by a 64-bit hash and not by comparison; very long texts, with spaces or without, are counted
+    whole, in time linear in their length.
 
     Nulls: a null text has null results, the empty text 0 tokens and empty counts; a null doc_id stays.
     Repeated rows are rows like others.  Further columns are ignored; an empty table gives an empty result.
