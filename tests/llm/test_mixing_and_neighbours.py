@@ -98,6 +98,36 @@ def test_exact_neighbours(spark, data):
     assert len(near & want) >= 0.9 * len(want)
 
 
+def test_queries_against_sql(spark):
+    """The registered query finds what its SQL finds; the region tree and hot regions lose nothing at factor 1."""
+    import duckdb
+
+    from spanweave.llm.queries import ORACLES, op5_nearest_neighbours
+
+    path = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{path}/embeddings.parquet'")
+    want = sorted(con.execute(ORACLES["op5_nearest_neighbours"]).fetchall())
+    assert sorted(tuple(r) for r in op5_nearest_neighbours(spark, path).collect()) == want and want
+    e = spark.read.parquet(f"{path}/embeddings.parquet")
+    assert sorted(tuple(r) for r in neighbours(e, factor=1.0, per_shard=40, every=50).collect()) == want
+
+
+def test_hot_vector_and_names(spark):
+    """A third of all rows are one vector; ids may be strings."""
+    rng = np.random.default_rng(2)
+    x = np.where(np.arange(600)[:, None] % 3 == 0, np.ones(8), rng.normal(size=(600, 8)))
+    df = vectors(spark, [(i, v.tolist(), 0, 1, 2) for i, v in enumerate(x)])
+    got = neighbours(df, k=3, factor=1.0, per_shard=50).collect()
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(np.sqrt(np.maximum(((y[:, None] - y[None]) ** 2).sum(-1), 0)), 6)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, j) for i in range(600) for j in np.lexsort((np.arange(600), d[i]))[:3].tolist()}
+    assert {(r.vec_id, r.neighbor_id) for r in got} == want
+    names = df.selectExpr("format_string('v%03d', vec_id) as vec_id", "embedding")
+    assert {(r.vec_id, r.neighbor_id) for r in neighbours(names, k=3, factor=1.0, per_shard=50).collect()} == {(f"v{i:03d}", f"v{j:03d}") for i, j in want}
+
+
 def test_neighbours_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (4, None), (None, [1.0, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [0.0, 0.0]), (8, [1.0, 2.0, 3.0]), (9, [None, 1.0])]
