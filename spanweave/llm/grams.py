@@ -1,28 +1,33 @@
 """Byte n-gram codes of whole texts: counting, distinct codes, and scoring texts from a table by code.
 
-A code holds up to seven bytes and a group number above them (a language; 0 without): the last byte is the
-symbol, the bytes before it its context, 0 before the beginning of a text.  Text is read twice, to gather the
-codes and to score; only sums by code are shuffled, never a row per position.
+A code holds up to eight bytes and, if there is room, a group number above them (a language; 0 without): the last
+byte is the symbol, the bytes before it its context, 0 before the beginning of a text.  Only sums by code are
+shuffled, never a row per position.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ._batch import Chunk, HashIndex, Tally, byte_codes, chunks, mix, words
+from ._batch import Chunk, HashIndex, Tally, byte_codes, chunks, mix, run_sums, words
+from ._session import cut, fresh, stored
 
 TABLE_ROWS = 4_000_000
+UNIFORM = -math.log(256)
 
 
 def tail(code: Column, n: int, bits: int) -> Column:
     """The last n bytes of codes of `bits` bits, with the group number."""
-    return code.bitwiseAND(F.lit(~((1 << bits) - 1) | ((1 << 8 * n) - 1)))
+    mask = ~((1 << bits) - 1) | ((1 << 8 * n) - 1)
+    return code.bitwiseAND(F.lit((mask + (1 << 63)) % (1 << 64) - (1 << 63)))
 
 
 def group_codes(batch_column: pa.Array | None, groups: dict[str, int], first: int, last: int) -> np.ndarray:
@@ -60,69 +65,117 @@ def _rows(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
 
 
-def load(table: DataFrame, names: list[str]) -> HashIndex:
-    t = table.select("code", *names).toArrow()
-    key = t["code"].to_numpy().view(np.uint64)
-    return HashIndex(key, *[t[x].to_numpy().astype(np.float64) for x in names])
+@dataclass
+class Level:
+    """One length of context: log probabilities of the symbols seen after a context, by code (code, lp), and what is
+    added for a symbol that wasn't, by context (ctx, lb), before the next shorter one is asked."""
 
+    seen: DataFrame
+    back: DataFrame
 
-def score(docs: DataFrame, table: DataFrame, depth: int, groups: dict[str, int] | None, names: tuple[str, str, str], second: bool = False, most: int = TABLE_ROWS, sent: dict | None = None, marks: HashIndex | None = None) -> DataFrame:
-    """All rows and columns of `docs` and, from `table` (code, lp[, lp2]): the sum of lp over the bytes of the
-    text, the number of bytes, and (with `second`) the greatest sum of lp2 - lp over a word; null without bytes.
-    With `marks`, values by key of `word_keys`, the third is the greatest value of a word instead, 0 without any.
 
-    The table goes to the executors if it has at most `most` rows.  A larger one goes there in parts of that
-    size by a hash of the code, one after the other, and each adds its share to the sums of texts and words.
-    `sent` keeps what was sent, for another call with the same table.
+Sent = list[tuple[HashIndex, HashIndex]]
+
+
+def _load(levels: list[Level]) -> Sent:
+    out = []
+    for level in levels:
+        pair = []
+        for table, key, value in ((level.seen, "code", "lp"), (level.back, "ctx", "lb")):
+            t = table.select(key, value).toArrow()
+            pair.append(HashIndex(t[key].to_numpy().view(np.uint64), t[value].to_numpy()))
+        out.append(tuple(pair))
+    return out
+
+
+def walk(code: np.ndarray, levels: Sent, keep: int) -> np.ndarray:
+    """The log probability of each code's symbol: that of the longest context that has seen it, and the weights of
+    the longer ones that haven't; `keep` are the bits of the group."""
+    lp, left = np.zeros(len(code)), np.arange(len(code))
+    for n in range(len(levels), 0, -1):
+        if not len(left):
+            break
+        seen, back = levels[n - 1]
+        c = code[left] & np.uint64((keep | (1 << 8 * n) - 1) & (1 << 64) - 1)
+        at = seen.find(c)
+        hit = at >= 0
+        lp[left[hit]] += seen.values[0][at[hit]] if hit.any() else 0.0
+        left = left[~hit]
+        at = back.find(c[~hit] & np.uint64(~255 & (1 << 64) - 1))
+        known = at >= 0
+        if known.any():
+            lp[left[known]] += back.values[0][at[known]]
+    lp[left] += UNIFORM
+    return lp
+
+
+def score(docs: DataFrame, levels: list[Level], groups: dict[str, int] | None, names: tuple[str, str, str], marks: HashIndex | None = None, keep: list[str] | None = None, most: int = TABLE_ROWS) -> DataFrame:
+    """The columns `keep` (all) of the rows of `docs`, and the sum of log probabilities over the bytes of the text
+    under `levels` (for contexts of 0, 1, … bytes), the number of bytes and, with `marks`, values by key of `word_keys`,
+    the greatest value of a word (0 without any); null without bytes.
+
+    Levels of at most `most` rows in all go to the executors.  Larger ones stay where they are: the texts' codes are
+    counted text by text, and a join by code with the distinct codes' log probabilities gives the sums.
     """
-    sent = {} if sent is None else sent
-    spark, bits = docs.sparkSession, 8 * (depth + 1)
-    parts = sent.get("parts") or max(1, -(-table.count() // most))
-    sent["parts"] = parts
+    spark, depth = docs.sparkSession, len(levels) - 1
+    bits, keep = 8 * (depth + 1), docs.columns if keep is None else keep
+    sizes = [t.count() for x in levels for t in (x.seen, x.back)]
+    small = sum(sizes) <= most
+    model = spark.sparkContext.broadcast((_load(levels) if small else None, marks))
+    if not small:
+        row = fresh(docs, "_row")
+        docs = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+        keep = [*keep, row]
     lower = [c.lower() for c in docs.columns]
     text_at, grp_at = lower.index("text"), lower.index("lang") if groups is not None else None
-    schema = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], LongType()), StructField(names[2], ArrayType(DoubleType()) if parts > 1 and marks is None else DoubleType())])
-    if marks is not None and "marks" not in sent:
-        sent["marks"] = spark.sparkContext.broadcast(marks)
-    marked = sent.get("marks")
-    out = docs
-    for part in range(parts):
-        piece = table if parts == 1 else table.where(F.pmod(F.xxhash64("code"), F.lit(parts)) == part)
-        if part not in sent:
-            sent[part] = spark.sparkContext.broadcast(load(piece, ["lp", "lp2"] if second else ["lp"]))
-        index = sent[part]
-
-        def run(it: Iterator[pa.RecordBatch], index=index, added=part > 0) -> Iterator[pa.RecordBatch]:
-            ix = index.value
-            for batch in it:
-                for c in chunks(batch.column(text_at)):
-                    grp = None if grp_at is None else group_codes(batch.column(grp_at), groups, c.first, c.last)
-                    total, by_word, word_rows = _sums(c, ix, depth, bits, grp, second)
-                    rows, none = batch.slice(c.first, c.last - c.first), c.lengths == 0
-                    cols = list(rows.columns)
-                    if marked is not None:
-                        peak = cols[-1] if added else pa.array(_greatest(c, marked.value, grp), mask=none)
-                    if added and marked is not None:
-                        total = total + np.nan_to_num(cols[-3].to_numpy(zero_copy_only=False))
-                        cols = cols[:-3]
-                    elif added:
-                        total = total + np.nan_to_num(cols[-3].to_numpy(zero_copy_only=False))
-                        by_word = by_word + cols[-1].flatten().to_numpy()
-                        cols = cols[:-3]
-                    if marked is not None:
-                        pass
-                    elif parts > 1:
-                        peak = pa.ListArray.from_arrays(pa.array(word_rows.astype(np.int32)), pa.array(by_word))
-                    else:
-                        most_, some = np.full(len(none), np.nan), np.flatnonzero(np.diff(word_rows) > 0)
-                        if len(some):
-                            most_[some] = np.maximum.reduceat(by_word, word_rows[some])
-                        peak = pa.array(most_, mask=np.isnan(most_))
-                    cols += [pa.array(total, mask=none), pa.array(c.lengths.astype(np.int64)), peak]
-                    yield pa.RecordBatch.from_arrays(cols, schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out if parts == 1 or marks is not None else out.withColumn(names[2], F.array_max(names[2]))
+    kept = [lower.index(c.lower()) for c in keep]
+    schema = StructType([*[docs.schema.fields[i] for i in kept], StructField(names[0], DoubleType()), StructField(names[1], LongType()), StructField(names[2], DoubleType())])
+    high = ~((1 << bits) - 1)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, words_ = model.value
+        for batch in it:
+            for c in chunks(batch.column(text_at)):
+                grp = None if grp_at is None else group_codes(batch.column(grp_at), groups, c.first, c.last)
+                none, total = c.lengths == 0, np.zeros(c.last - c.first)
+                full = np.flatnonzero(~none)
+                if len(full) and tables is not None:
+                    code = byte_codes(c, depth)
+                    if grp is not None:
+                        code |= np.repeat(grp, c.lengths) << np.uint64(bits)
+                    total[full] = np.add.reduceat(walk(code, tables, high), c.starts[full])
+                peak = pa.array(_greatest(c, words_, grp), mask=none) if words_ is not None else pa.nulls(len(none), pa.float64())
+                cols = [batch.column(i).slice(c.first, c.last - c.first) for i in kept]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(total, mask=none), pa.array(c.lengths.astype(np.int64)), peak], schema.names)
+
+    out = docs.mapInArrow(run, schema)
+    if small:
+        return out
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = lower.index(row.lower())
+        for batch in it:
+            for c in chunks(batch.column(text_at)):
+                code = byte_codes(c, depth)
+                if grp_at is not None:
+                    code |= np.repeat(group_codes(batch.column(grp_at), groups, c.first, c.last), c.lengths) << np.uint64(bits)
+                ids = batch.column(at).to_numpy()
+                for i in np.flatnonzero(c.lengths).tolist():
+                    codes, n = run_sums(code[c.starts[i] : c.starts[i + 1]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), ids[c.first + i])), pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], [row, "code", "n"])
+
+    counts = docs.mapInArrow(count, f"`{row}` long, code long, n long")
+    now = counts.select("code").distinct().withColumn("sum", F.lit(0.0)).withColumn("found", F.lit(False))
+    for n in range(len(levels), 0, -1):
+        key = tail(F.col("code"), n, bits)
+        now = now.withColumn("k", key).join(levels[n - 1].seen.select(F.col("code").alias("k"), "lp"), "k", "left")
+        now = now.withColumn("ctx", key.bitwiseAND(F.lit(~255))).join(levels[n - 1].back.select("ctx", "lb"), "ctx", "left")
+        more = F.when(F.col("found"), 0.0).otherwise(F.coalesce("lp", "lb", F.lit(0.0)))
+        now = now.select("code", (F.col("sum") + more).alias("sum"), (F.col("found") | F.col("lp").isNotNull()).alias("found"))
+    now = cut(now.select("code", (F.col("sum") + F.when(F.col("found"), 0.0).otherwise(UNIFORM)).alias("lp")))
+    sums = counts.join(now, "code").groupBy(row).agg(F.sum(F.col("n") * F.col("lp")).alias(names[0]))
+    out = out.drop(names[0]).join(sums, row, "left")
+    return out.select(*schema.names).drop(row)
 
 
 def word_keys(hashes: np.ndarray, groups: np.ndarray | None) -> np.ndarray:
@@ -158,27 +211,3 @@ def word_documents(docs: DataFrame, groups: dict[str, int]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(kind[row[use]].astype(np.int32)), pa.array(g[use].astype(np.int32)), pa.array(keys.view(np.int64))], ["m", "g", "key"])
 
     return docs.select("m", "text", "lang").mapInArrow(run, "m int, g int, key long").groupBy("m", "g", "key").agg(F.count("*").alias("n"))
-
-
-def _sums(c, ix: HashIndex, depth: int, bits: int, grp: np.ndarray | None, second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums by text, and by word with each text's range of words; each added up in the order of its bytes."""
-    n = len(c.starts) - 1
-    code = byte_codes(c, depth)
-    if grp is not None:
-        code |= np.repeat(grp, c.lengths) << np.uint64(bits)
-    at = ix.find(code)
-    hit = at >= 0
-    at[~hit] = 0
-    lp = np.where(hit, ix.values[0][at], 0.0) if len(ix.h) else np.zeros(len(at))
-    full, total = np.flatnonzero(c.lengths > 0), np.zeros(n)
-    if len(full):
-        total[full] = np.add.reduceat(lp, c.starts[full])
-    if not second or not len(full):
-        return total, np.zeros(0), np.zeros(n + 1, np.int64)
-    w = words(c)
-    if not len(w.begin):
-        return total, np.zeros(0), w.row_starts
-    more = (np.where(hit, ix.values[1][at], 0.0) if len(ix.h) else lp) - lp
-    edges = np.empty(2 * len(w.begin), np.int64)
-    edges[0::2], edges[1::2] = w.begin, w.end
-    return total, np.add.reduceat(np.r_[more, 0.0], edges)[0::2], w.row_starts

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._session import cut, doc_view, fresh
-from .grams import gather, score, tail
+from .grams import Level, gather, score, tail
 
-DEPTH, MIN_COUNT, DIVERGENCE, BETA = 5, 64, 0.02, 2.0
+DEPTH, MIN_COUNT, DIVERGENCE, BETA = 7, 64, 0.02, 2.0
 
 
 def grow(counts: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE) -> list[DataFrame]:
@@ -46,26 +46,31 @@ def grow(counts: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, dive
     return tree[::-1]
 
 
-def state_probabilities(codes: DataFrame, tree: list[DataFrame], beta: float = BETA) -> DataFrame:
-    """(code, lp): the log probability of each code's symbol in the state of the longest retained suffix.
+def states(tree: list[DataFrame], beta: float = BETA) -> list[Level]:
+    """The tree's states as levels: the log probability of every symbol seen in a state, and the weight of its parent.
 
     A state's distribution is smoothed with its parent's: (count + beta · parent's) / (total + beta); the root's
-    with the uniform one over 256 bytes.
+    with the uniform one over 256 bytes.  A symbol that a state hasn't seen has beta / (total + beta) of its parent's.
     """
-    bits, now = 8 * len(tree), codes.select("code", F.lit(1 / 256).alias("p"))
+    bits, out, parents = 8 * len(tree), [], None
     for n, level in enumerate(tree):
-        now = now.withColumn("ctx", tail(F.col("code"), n + 1, bits).bitwiseAND(F.lit(~255))).join(level, "ctx", "left")
-        seen = F.coalesce(F.try_element_at("next", F.col("code").bitwiseAND(F.lit(255)).cast("int")), F.lit(0))
-        p = F.when(F.col("total").isNull(), F.col("p")).otherwise((seen + beta * F.col("p")) / (F.col("total") + beta))
-        now = now.select("code", p.alias("p"))
-    return now.select("code", F.log("p").alias("lp"))
+        rows = level.select("ctx", "total", F.explode("next").alias("sym", "n"))
+        rows = rows.select(F.col("ctx").bitwiseOR(F.col("sym").cast("long")).alias("code"), "total", "n")
+        if parents is None:
+            rows = rows.withColumn("p", F.lit(1 / 256))
+        else:  # what was seen after a context was seen after its suffix, and suffixes of states are states
+            rows = rows.withColumn("up", tail(F.col("code"), n, bits)).join(parents.select(F.col("code").alias("up"), "p"), "up")
+        parents = cut(rows.select("code", ((F.col("n") + beta * F.col("p")) / (F.col("total") + beta)).alias("p")))
+        out.append(Level(parents.select("code", F.log("p").alias("lp")), level.select("ctx", F.log(beta / (F.col("total") + beta)).alias("lb"))))
+    return out
 
 
 def tree_scores(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE, beta: float = BETA) -> DataFrame:
     """(doc_id, n_bytes, log_prob, bits_per_byte) of every row of `docs` under a suffix tree of `train` (or `docs`).
 
     Symbols are the bytes of the texts, all of them, and contexts up to `depth` bytes don't reach over the
-    beginning of a text; a zero byte in a text counts like its beginning.
+    beginning of a text; a zero byte in a text counts like its beginning.  Seven bytes of context and the symbol fill
+    a code of 64 bits, which is the most that `depth` can be.  Very long texts are counted and scored whole.
 
     Nulls: a null doc_id keeps its row; null and empty texts have 0 bytes, no log_prob and no bits_per_byte.
     Repeated rows and ties are rows like others, each counted and scored.  Further columns are ignored.  Trained
@@ -73,15 +78,12 @@ def tree_scores(docs: DataFrame, train: DataFrame | None = None, depth: int = DE
     """
     view = doc_view(docs, "doc_id", "text")
     counts = cut(gather(doc_view(docs if train is None else train, "text"), depth))
-    tree = grow(counts, depth, min_count, divergence)
-    codes = counts if train is None else gather(view.select("text"), depth)
-    table = cut(state_probabilities(codes, tree, beta))
+    levels = states(grow(counts, depth, min_count, divergence), beta)
     lp, size = fresh(view, "log_prob"), fresh(view, "n_bytes")
-    out = score(view, table, depth, None, (lp, size, "_none"))
+    out = score(view, levels, None, (lp, size, "_none"), keep=["doc_id"])
     return out.select("doc_id", F.coalesce(size, F.lit(0)).alias("n_bytes"), F.round(lp, 3).alias("log_prob"), F.round(-F.col(lp) / F.col(size) / 0.6931471805599453, 6).alias("bits_per_byte"))
 
 
-
 def tree_sql(depth: int = DEPTH, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE, beta: float = BETA) -> str:
     """The scores of all documents under a tree of all documents, over hexadecimal texts."""
     ctes = [

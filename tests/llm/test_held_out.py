@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanweave.llm._batch import HashIndex, chunks, words
 from spanweave.llm.grams import gather, score
 from spanweave.llm.quality import passing_ids
+from spanweave.llm.suffix_tree import grow, states
 
 
 @pytest.fixture(scope="module")
@@ -25,19 +26,18 @@ def unseen(spark):
     return rows.select("lang", "quality", "toxic", words.alias("words"), F.coalesce("kept", F.lit(0)).alias("kept")).toPandas()
 
 
-def test_marks_in_parts(documents):
-    """The greatest evidence of a word is the same where the table goes to the executors in parts."""
+def test_marks(documents):
+    """The greatest evidence of a word, against a plain look-up."""
     docs = documents.select("doc_id", "text")
-    table = gather(docs.select("text"), 2).select("code", (-F.log(F.col("n") + 1.0)).alias("lp")).cache()
+    levels = states(grow(gather(docs.select("text"), 1), 1, 20, 0.05))
     every = sorted({w for r in docs.collect() for w in re.findall(r"[^\x00-\x20]+", r.text or "")})
     value = {w: (len(w) * 7919 % 101) / 10 for w in every[::3]}
     keys = [words(next(chunks(pa.array([w])))).hashes[0] for w in value]
     marks = HashIndex(np.array(keys, np.uint64), np.array(list(value.values())))
-    a, b = (score(docs, table, 2, None, ("l", "n", "p"), most=m, marks=marks).orderBy("doc_id").select("l", "n", "p").toPandas() for m in (10**9, 700))
-    assert np.allclose(a, b)
-    want = [max([0, *(value.get(w, 0) for w in re.findall(r"[^\x00-\x20]+", r.text))]) for r in docs.orderBy("doc_id").collect()]
-    assert np.allclose(a["p"], want)
-    table.unpersist()
+    for most in (10**9, 1):
+        got = score(docs, levels, None, ("l", "n", "p"), marks=marks, most=most).orderBy("doc_id").toPandas()
+        want = [max([0, *(value.get(w, 0) for w in re.findall(r"[^\x00-\x20]+", r.text))]) for r in docs.orderBy("doc_id").collect()]
+        assert np.allclose(got["p"], want)
 
 
 def test_toxic_by_language(unseen):

@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanweave.llm.grams import gather, score
-from spanweave.llm.quality import classify, kneser_ney, passing_ids, probabilities
-from spanweave.llm.suffix_tree import tree_scores
+from spanweave.llm._batch import HashIndex
+from spanweave.llm.grams import gather, score, walk
+from spanweave.llm.quality import backed_off, classify, kneser_ney, passing_ids
+from spanweave.llm.suffix_tree import grow, states, tree_scores
 
 
 def tree_by_force(train, texts, depth, min_count, divergence, beta):
@@ -63,14 +64,24 @@ def test_tree_odd(odd, none):
     assert abs(flat.bits_per_byte - 8) < 1e-6
 
 
-def test_score_in_parts(documents):
-    """A table that goes to the executors in parts gives the same sums and peaks."""
-    docs = documents.select("doc_id", "text")
-    codes = gather(docs.select("text"), 2)
-    table = codes.select("code", (-F.log(F.col("n") + 1.0)).alias("lp"), (-F.log(F.col("n") + 2.0) / 2).alias("lp2")).cache()
-    a, b = (score(docs, table, 2, None, ("l", "n", "p"), second=True, most=m).orderBy("doc_id").select("l", "n", "p").toPandas() for m in (10**9, 700))
-    assert np.allclose(a, b)
-    table.unpersist()
+def test_tree_as_deep_as_it_goes(documents):
+    few = documents.orderBy("doc_id").limit(5)
+    texts = [r.text for r in few.orderBy("doc_id").collect()]
+    got = tree_scores(few, min_count=5, divergence=0.05).orderBy("doc_id").collect()
+    assert np.allclose([r.log_prob for r in got], tree_by_force(texts, texts, 7, 5, 0.05, 2.0), atol=1e-3)
+
+
+@pytest.mark.parametrize("groups", [None, {"en": 1, "fr": 2}])
+def test_score_by_join(documents, groups):
+    """A model too large to be sent gives the same sums by a sharded join."""
+    docs = documents.select("doc_id", "lang", "text")
+    levels = states(grow(gather(docs.select("text"), 3), 3, 20, 0.05))
+    if groups:
+        counts = gather(docs.select("text", "lang"), 2, groups, also=0).withColumn("m", F.lit(0))
+        levels = backed_off(kneser_ney(counts, 3), 3)
+    a, b = (score(docs, levels, groups, ("l", "n", "p"), most=m).orderBy("doc_id") for m in (10**9, 700))
+    assert a.columns == b.columns
+    assert np.allclose(a.toPandas()["l"], b.toPandas()["l"])
 
 
 def kneser_ney_by_force(train, order):
@@ -107,23 +118,54 @@ def kneser_ney_by_force(train, order):
     return p
 
 
+def loaded(levels):
+    def index(df, key, value):
+        t = df.select(key, value).toArrow()
+        return HashIndex(t[key].to_numpy().view(np.uint64), t[value].to_numpy())
+
+    return [(index(x.seen, "code", "lp"), index(x.back, "ctx", "lb")) for x in levels]
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_kneser_ney(spark, documents, order):
     texts = [r.text for r in documents.orderBy("doc_id").limit(6).collect()]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     counts = gather(df, order - 1).withColumn("m", F.lit(0))
+    levels = loaded(backed_off(kneser_ney(counts, order), order))
     probe = spark.createDataFrame([(t,) for t in [texts[0], "zzz unseen é"]], "text string")
-    got = probabilities(gather(probe, order - 1), kneser_ney(counts, order), order, 1).collect()
+    codes = np.array([r.code for r in gather(probe, order - 1).collect()], np.uint64)
     p = kneser_ney_by_force(texts, order)
-    for r in got:
-        assert abs(r.p0 - p((r.code & ((1 << 8 * order) - 1)).to_bytes(order, "big"))) < 1e-9
-
-
-def test_probabilities_add_up(spark, documents):
-    df = documents.select("text")
-    tables = kneser_ney(gather(df, 2).withColumn("m", F.lit(0)), 3)
-    every = spark.range(256).selectExpr(f"id + {int.from_bytes(b'th', 'big') << 8} as code")
-    assert abs(probabilities(every, tables, 3, 1).agg(F.sum("p0")).first()[0] - 1) < 1e-9
+    got = np.exp(walk(codes, levels, ~((1 << 8 * order) - 1)))
+    assert np.allclose(got, [p(int(c).to_bytes(order, "big")) for c in codes], atol=1e-9)
+
+
+def test_probabilities_add_up(documents):
+    levels = loaded(backed_off(kneser_ney(gather(documents.select("text"), 2).withColumn("m", F.lit(0)), 3), 3))
+    for context in (b"th", b"\xff\xfe", b"\0\0"):
+        codes = np.arange(256, dtype=np.uint64) + np.uint64(int.from_bytes(context, "big") << 8)
+        assert abs(np.exp(walk(codes, levels, ~((1 << 24) - 1))).sum() - 1) < 1e-9
+
+
+def test_perplexities_by_force(spark, documents, labels):
+    """The query's perplexities are those of plain Python models of the same training documents."""
+    from collections import defaultdict as by
+
+    from spanweave.llm.quality import Judge
+
+    judge = Judge(documents, labels, 3, 5, 0.995)
+    rows = documents.where("text <> ''").withColumn("even", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0).withColumn("h", F.xxhash64("doc_id", F.lit(20240229))).collect()
+    mark = {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
+    train = by(list)
+    for r in sorted(rows, key=lambda r: (r.h, r.doc_id)):
+        if r.even and mark.get(r.doc_id, (0, 0)) == (1, 0) and len(train[r.lang]) < 5:
+            train[r.lang].append(r.text)
+    models = {lang: kneser_ney_by_force(texts, 3) for lang, texts in train.items()}
+    models[None] = kneser_ney_by_force([t for x in train.values() for t in x], 3)
+    got = {r.doc_id: r[1] for r in judge.rated.select("doc_id", judge.perplexity()).collect()}
+    for r in rows[:25]:
+        p, b = models.get(r.lang) or models[None], b"\0\0" + r.text.encode()
+        want = math.exp(-sum(math.log(p(b[i - 2 : i + 1])) for i in range(2, len(b))) / (len(b) - 2))
+        assert abs(got[r.doc_id] - want) < 1e-6 * want
 
 
 def test_classifier(spark):
