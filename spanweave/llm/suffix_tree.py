@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ._session import cut, doc_view, fresh
 from .grams import Level, gather, score, tail
 
-DEPTH, MIN_COUNT, DIVERGENCE, BETA = 7, 64, 0.02, 2.0
+DEPTH, MIN_COUNT, DIVERGENCE, BETA = 6, 64, 0.02, 2.0
 
 
 def grow(counts: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE) -> list[DataFrame]:

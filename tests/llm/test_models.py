@@ -67,7 +67,7 @@ def test_tree_odd(odd, none):
 def test_tree_as_deep_as_it_goes(documents):
     few = documents.orderBy("doc_id").limit(5)
     texts = [r.text for r in few.orderBy("doc_id").collect()]
-    got = tree_scores(few, min_count=5, divergence=0.05).orderBy("doc_id").collect()
+    got = tree_scores(few, depth=7, min_count=5, divergence=0.05).orderBy("doc_id").collect()
     assert np.allclose([r.log_prob for r in got], tree_by_force(texts, texts, 7, 5, 0.05, 2.0), atol=1e-3)
 
 
