@@ -64,7 +64,7 @@ def test_tree_odd(odd, none):
     assert abs(flat.bits_per_byte - 8) < 1e-6
 
 
-def test_tree_as_deep_as_it_goes(documents):
+def test_tree_of_whole_codes(documents):
     few = documents.orderBy("doc_id").limit(5)
     texts = [r.text for r in few.orderBy("doc_id").collect()]
     got = tree_scores(few, depth=7, min_count=5, divergence=0.05).orderBy("doc_id").collect()
