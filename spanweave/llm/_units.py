@@ -35,7 +35,7 @@ class UnitCache:
     Units are known again by a 64-bit hash; their texts aren't kept.  What is kept only saves time.
     """
 
-    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, ...]], columns: int, most: int = 700_000, values: int = 12_000_000):
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, ...]], columns: int, most: int = 250_000, values: int = 8_000_000):
         self.make, self.columns, self.most, self.values = make, columns, most, values
         self.generation = 0
         self.clear()

@@ -310,7 +310,7 @@ def encode_chunk(c, lat: Lattice, cache: UnitCache, more: dict, n: int):
         for i in near.tolist():
             key = int(place[a + i]), cache.generation
             if (paths := more.get(key)) is None:
-                if len(more) > 200_000:
+                if len(more) > 30_000:
                     more.clear()
                 paths = lat.nbest(q[begin[a + i] : end[a + i]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), n)
                 if end[a + i] - begin[a + i] <= 256:
