@@ -278,12 +278,15 @@ def recipes(spark, path):
 
 @register("triggers_news")
 def news(spark, path):
-    """Pages of line-marked news dumps: "==== SITE" and "== " begin a page; marker lines are left out."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    page = F.sum(F.col("line").rlike("^==").cast("int")).over(Window.partitionBy("file").orderBy("n"))
+    """Pages of line-marked news dumps: "==== SITE" and "== " begin a page; marker lines are left out.
+
+    Files of the same name in different folders are kept apart, though both give their name to the pages.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    page = F.sum(F.col("line").rlike("^==").cast("int")).over(Window.partitionBy("path").orderBy("n"))
     marked = lines.withColumn("page", page).where(~F.col("line").rlike("^(==|ERROR |DATE|KEYWORDS|SUMMARY)") & (F.trim("line") != "") & (F.col("page") > 0))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    return marked.groupBy("file", "page").agg(text.alias("text")).select(F.concat_ws(":", "file", "page").alias("doc_id"), "text")
+    return marked.groupBy("path", "file", "page").agg(text.alias("text")).select(F.concat_ws(":", "file", "page").alias("doc_id"), "text")
 
 
 @register("coo")

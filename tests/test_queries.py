@@ -6,11 +6,13 @@ import duckdb
 import pytest
 
 from spanweave import queries as Q
+from spanweave import queries_files  # noqa: F401
 from spanweave.operators import spans as A
 from spanweave.plans.extract import extract, token_spans
 from spanweave.plans.lang import RuleSet
 
 FEW = ["tokenize", "sentences", "test_edge", "phrase_longest", "phrase_optional", "select_submatch", "frame_fields", "coord_near", "coord_prefix", "coord_count_invert", "coord_overlaps", "coord_when", "bio", "markup", "snippets", "cooc_pruned", "closest_terms", "pmi_term_source", "rank_sources_by_terms", "variance_by_source", "source_lines"]
+FEW += ["source_text", "source_csv", "source_twitter_reply", "source_triggers_news", "source_conllu_file", "source_simple_file", "path_maybe", "layer_phrase", "namespace_phrase", "coord_connects", "pmi_lookup"]
 
 
 @pytest.fixture(scope="module")
