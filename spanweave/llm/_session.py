@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """`df.mapInArrow(run, schema)` with batches of few bytes however long the texts are (unless the session says
+    otherwise), and with the memory that a task freed given back when it ends."""
+    spark = df.sparkSession
+    if BATCH_BYTES[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH_BYTES)
+
+    def lean(it):
+        yield from run(it)
+        give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that `df` doesn't have, whatever its letter case."""
     have = {c.lower() for c in df.columns}

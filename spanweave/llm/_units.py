@@ -29,6 +29,21 @@ def range_hashes(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
     return mix(h + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+_kept: dict[int, dict] = {}
+
+
+def kept(state: dict) -> None:
+    """Note what a kernel keeps in this worker from task to task."""
+    _kept[id(state)] = state
+
+
+def forget() -> None:
+    """Let go of it, as a kernel of another kind begins."""
+    for state in _kept.values():
+        state.clear()
+    _kept.clear()
+
+
 class UnitCache:
     """For each distinct unit an array of integers, made once by `make` and kept up to `most` units or `values` integers.
 

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ._batch import Chunk, HashIndex, Tally, byte_codes, chunks, mix, run_sums, words
-from ._session import cut, fresh, stored
+from ._session import arrow_map, cut, fresh, stored
+from ._units import forget
 
 TABLE_ROWS = 4_000_000
 UNIFORM = -math.log(256)
@@ -44,6 +45,7 @@ def gather(docs: DataFrame, depth: int, groups: dict[str, int] | None = None, al
     bits = np.uint64(8 * (depth + 1))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         tally = Tally()
         for batch in it:
             for c in chunks(batch.column(0)):
@@ -58,7 +60,7 @@ def gather(docs: DataFrame, depth: int, groups: dict[str, int] | None = None, al
                     yield _rows(*tally.take())
         yield _rows(*tally.take())
 
-    return docs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return arrow_map(docs, run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _rows(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -133,6 +135,7 @@ def score(docs: DataFrame, levels: list[Level], groups: dict[str, int] | None, n
     high = ~((1 << bits) - 1)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         tables, words_ = model.value
         for batch in it:
             for c in chunks(batch.column(text_at)):
@@ -148,7 +151,7 @@ def score(docs: DataFrame, levels: list[Level], groups: dict[str, int] | None, n
                 cols = [batch.column(i).slice(c.first, c.last - c.first) for i in kept]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(total, mask=none), pa.array(c.lengths.astype(np.int64)), peak], schema.names)
 
-    out = docs.mapInArrow(run, schema)
+    out = arrow_map(docs, run, schema)
     if small:
         return out
 
@@ -164,7 +167,7 @@ def score(docs: DataFrame, levels: list[Level], groups: dict[str, int] | None, n
                     codes, n = run_sums(code[c.starts[i] : c.starts[i + 1]])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), ids[c.first + i])), pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], [row, "code", "n"])
 
-    counts = docs.mapInArrow(count, f"`{row}` long, code long, n long")
+    counts = arrow_map(docs, count, f"`{row}` long, code long, n long")
     now = counts.select("code").distinct().withColumn("sum", F.lit(0.0)).withColumn("found", F.lit(False))
     for n in range(len(levels), 0, -1):
         key = tail(F.col("code"), n, bits)
@@ -210,4 +213,4 @@ def word_documents(docs: DataFrame, groups: dict[str, int]) -> DataFrame:
                     keys = word_keys(hashes, g)[use]
                     yield pa.RecordBatch.from_arrays([pa.array(kind[row[use]].astype(np.int32)), pa.array(g[use].astype(np.int32)), pa.array(keys.view(np.int64))], ["m", "g", "key"])
 
-    return docs.select("m", "text", "lang").mapInArrow(run, "m int, g int, key long").groupBy("m", "g", "key").agg(F.count("*").alias("n"))
+    return arrow_map(docs.select("m", "text", "lang"), run, "m int, g int, key long").groupBy("m", "g", "key").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batch import chunks, gram_hashes, mix, words
-from ._session import cut, integral, numbered, text_key
+from ._session import arrow_map, cut, integral, numbered, text_key
 
 COORDINATES, BANDS, SHINGLE, THRESHOLD = 128, 32, 3, 0.5
 _ROUND = 0xA24BAED4963EE407
@@ -175,7 +175,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def _groups(texts: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, root) of all texts (doc_id long, text) that aren't the least of their group."""
-    signed = cut(texts.mapInArrow(_signatures, "doc_id long, content string, bands array<long>"))
+    signed = cut(arrow_map(texts, _signatures, "doc_id long, content string, bands array<long>"))
     same = signed.groupBy("content").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top"))
     equal = signed.join(same.where("top > b"), "content").where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct()
     one = signed.join(same, "content").where("doc_id = b").select("doc_id", "bands").dropDuplicates(["doc_id"])
@@ -189,7 +189,7 @@ def _groups(texts: DataFrame, threshold: float) -> DataFrame:
         x = have.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
         y = have.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
         pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return cut(pairs.mapInArrow(lambda it: _verify(it, threshold), "a long, b long"))
+        return cut(arrow_map(pairs, lambda it: _verify(it, threshold), "a long, b long"))
 
     star = cut(members.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
     good = verified(star)

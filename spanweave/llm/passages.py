@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._batch import Words, chunks, gram_hashes, spread, words
-from ._session import cut
+from ._session import arrow_map, cut
 
 WINDOW, GRAM = 48, 8
 SEGMENTS_A_GROUP = 8_000
@@ -84,13 +84,13 @@ def _segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_segments(docs: DataFrame) -> tuple[DataFrame, int]:
     """Segments of anchors that at least two documents hold, and their number."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    heads = texts.mapInArrow(_headers, "key long, doc_id long, s0 int, r int")
+    heads = arrow_map(texts, _headers, "key long, doc_id long, s0 int, r int")
     held = heads.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.collect_list(F.struct("doc_id", "s0", "r")).alias("at"))
     some = held.where("lo < hi").select("key", F.explode("at").alias("x")).select("x.doc_id", F.struct("key", "x.s0", "x.r").alias("seg"))
     by_doc = cut(some.groupBy("doc_id").agg(F.collect_set("seg").alias("segs")))
     number = by_doc.agg(F.sum(F.size("segs"))).first()[0] or 0
     joined = texts.join(by_doc, "doc_id").select("doc_id", "text", "segs")
-    return joined.mapInArrow(_segments, "key long, doc_id long, s0 int, r int, words string"), number
+    return arrow_map(joined, _segments, "key long, doc_id long, s0 int, r int, words string"), number
 
 
 def load_segments(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._batch import HashIndex, chunks, spread
-from ._session import doc_view
-from ._units import UnitCache, code_points, range_hashes
+from ._session import arrow_map, doc_view
+from ._units import UnitCache, code_points, kept, range_hashes
 
 NBEST = 4
 LONG = 2048
@@ -251,6 +251,7 @@ def lattice(path: str) -> Lattice:
 
 def worker_state(path: str) -> tuple[Lattice, UnitCache, dict]:
     """The model, the units and the alternatives found so far, kept by this worker from task to task."""
+    kept(_state)
     return lattice(path), _state["cache"], _state["more"]
 
 
@@ -358,7 +359,7 @@ def encode(docs: DataFrame, model_path: str, n: int = NBEST) -> DataFrame:
                     ["doc_id", "ids", "n_tokens", "best_ids", "score", "n_best", "round_trip"],
                 )
 
-    return view.mapInArrow(run, schema)
+    return arrow_map(view, run, schema)
 
 
 def _round_trip(c, lat: Lattice, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:

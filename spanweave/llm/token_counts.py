@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batch import chunks, spread
-from ._session import doc_view
-from ._units import UnitCache, code_points
+from ._session import arrow_map, doc_view
+from ._units import UnitCache, code_points, kept
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTRACTIONS = {"'re", "'ve", "'ll"}
@@ -191,6 +191,7 @@ def truncate_at(data: bytes, budget: int) -> int:
 
 def worker_cache(path: str) -> UnitCache:
     """Counts by distinct piece, kept by this worker from task to task."""
+    kept(_state)
     if _state.get("path") != path:
         _state["path"], _state["cache"] = path, UnitCache(PrefixCounter(path).make, 0)
     return _state["cache"]
@@ -234,4 +235,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, budgets: tuple[int, ...]
                     cuts.append(pa.array(best, mask=c.null))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.last - c.first), pa.array(size.astype(np.int64), mask=c.null), pa.array(total, mask=c.null), pa.array(packed, pa.binary()), *cuts], ["doc_id", *fields])
 
-    return view.mapInArrow(run, schema)
+    return arrow_map(view, run, schema)

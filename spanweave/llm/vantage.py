@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._batch import spread
-from ._session import cut, integral, numbered
+from ._session import arrow_map, cut, integral, numbered
 
 K, LEAF, PER_SHARD, FACTOR = 10, 64, 16_384, 0.9
 QUERY_ROWS, QUERY_BLOCK = 2_048, 16_384
@@ -180,7 +180,7 @@ def neighbours(vectors: DataFrame, k: int = K, factor: float = FACTOR, per_shard
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sent.value.route(matrix(b.column(1))).astype(np.int32))], ["vec_id", "v", "region"])
 
-    rows = cut(rows.mapInArrow(place, "vec_id long, v array<double>, region int"))
+    rows = cut(arrow_map(rows, place, "vec_id long, v array<double>, region int"))
     # a row for each region: a few thousand at most
     held = {r.region: -(-r["count"] // per_shard) for r in rows.groupBy("region").count().collect()}
     first = np.cumsum([0, *[held.get(i, 0) for i in range(len(top.regions))]]).astype(np.int64)
@@ -228,7 +228,7 @@ def neighbours(vectors: DataFrame, k: int = K, factor: float = FACTOR, per_shard
     if first[-1] > 1:
         tau = home.groupBy("vec_id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("tau"))
         away = asked.join(tau, "vec_id", "left").select("vec_id", "v", "shard", F.coalesce("tau", F.lit(float("inf"))).alias("tau"))
-        away = cut(away.mapInArrow(spread_out, "shard long, vec_id long, v array<double>, tau double"))
+        away = cut(arrow_map(away, spread_out, "shard long, vec_id long, v array<double>, tau double"))
         blocks = away.groupBy("shard").agg(F.expr(f"cast(ceil(count(*) / {QUERY_BLOCK}) as int)").alias("blocks"))
         away = away.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(4)), "blocks")).drop("blocks")
         shown = trees.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shard", "tree", F.col("block").cast("long").alias("block"))
