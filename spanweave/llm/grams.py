@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -111,18 +112,45 @@ def walk(code: np.ndarray, levels: Sent, keep: int) -> np.ndarray:
     return lp
 
 
+def of_groups(levels: list[Level], bits: int, groups: list[int]) -> list[Level]:
+    """The rows of `levels` that belong to some groups."""
+    return [Level(*[t.where(F.shiftright(key, bits).isin(groups)) for t, key in ((x.seen, "code"), (x.back, "ctx"))]) for x in levels]
+
+
+def group_parts(levels: list[Level], bits: int, most: int) -> list[list[int]]:
+    """The groups of `levels` in lists of at most `most` rows, or of one group."""
+    keys = reduce(DataFrame.unionByName, [t.select(F.shiftright(key, bits).cast("int").alias("g")) for x in levels for t, key in ((x.seen, "code"), (x.back, "ctx"))])
+    out, size = [], 0
+    for g, n in sorted(tuple(r) for r in keys.groupBy("g").count().collect()):  # a row for each language
+        if out and size + n <= most:
+            out[-1].append(g)
+            size += n
+        else:
+            out.append([g])
+            size = n
+    return out
+
+
 def score(docs: DataFrame, levels: list[Level], groups: dict[str, int] | None, names: tuple[str, str, str], marks: HashIndex | None = None, keep: list[str] | None = None, most: int = TABLE_ROWS) -> DataFrame:
     """The columns `keep` (all) of the rows of `docs`, and the sum of log probabilities over the bytes of the text
     under `levels` (for contexts of 0, 1, … bytes), the number of bytes and, with `marks`, values by key of `word_keys`,
     the greatest value of a word (0 without any); null without bytes.
 
-    Levels of at most `most` rows in all go to the executors.  Larger ones stay where they are: the texts' codes are
+    Levels of at most `most` rows in all go to the executors.  Larger ones go in parts of several groups, with one pass
+    over the texts of each part.  Those of a group that is larger alone stay where they are: the texts' codes are
     counted text by text, and a join by code with the distinct codes' log probabilities gives the sums.
     """
     spark, depth = docs.sparkSession, len(levels) - 1
     bits, keep = 8 * (depth + 1), docs.columns if keep is None else keep
     sizes = [t.count() for x in levels for t in (x.seen, x.back)]
     small = sum(sizes) <= most
+    if not small and groups and len(parts := group_parts(levels, bits, most)) > 1:
+        own = F.coalesce(*[F.when(F.col("lang") == x, F.lit(i)) for x, i in groups.items()], F.lit(0))
+        later, out = [g for part in parts[1:] for g in part], []
+        for part in parts:
+            here = own.isin(part) if part is not parts[0] else ~own.isin(later)
+            out.append(score(docs.where(here), of_groups(levels, bits, part), groups, names, marks, keep, most))
+        return reduce(DataFrame.unionByName, out)
     model = spark.sparkContext.broadcast((_load(levels) if small else None, marks))
     if not small:
         row = fresh(docs, "_row")
@@ -196,21 +224,58 @@ def _greatest(c: Chunk, marks: HashIndex, grp: np.ndarray | None) -> np.ndarray:
     return out
 
 
-def word_documents(docs: DataFrame, groups: dict[str, int]) -> DataFrame:
-    """(m, g, key, n): in how many texts of `docs` (m, text, lang) each word stands, by group and under group 0 too."""
+def spread_groups(g: Column, step: int) -> Column:
+    """The groups that a text of group part · step + language counts under: its language and all languages (0), over
+    the whole and within its part (0 is none)."""
+    lang, part = F.pmod(g, F.lit(step)), g - F.pmod(g, F.lit(step))
+    return F.array_distinct(F.array(lang, F.lit(0).cast("long"), g, part))
+
+
+def peaks(docs: DataFrame, marks: HashIndex, groups: dict[str, int], keep: list[str]) -> DataFrame:
+    """The columns `keep` of `docs` (with text and lang) and `peak`, the greatest value of a word as in `score`."""
+    docs = docs.select("text", "lang", *[F.col(x).alias(f"_{x}") for x in keep])
+    sent = docs.sparkSession.sparkContext.broadcast(marks)
+    schema = StructType([*[StructField(x, f.dataType) for x, f in zip(keep, docs.schema.fields[2:])], StructField("peak", DoubleType())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for c in chunks(batch.column(0)):
+                grp = group_codes(batch.column(1), groups, c.first, c.last)
+                cols = [batch.column(i + 2).slice(c.first, c.last - c.first) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(_greatest(c, sent.value, grp), mask=c.lengths == 0)], schema.names)
+
+    return arrow_map(docs, run, schema)
+
+
+def word_documents(docs: DataFrame, groups: dict[str, int], among: HashIndex | None = None) -> DataFrame:
+    """(g, word, n): in how many texts of `docs` (text, lang) each word stands, by group and under group 0 too.
+
+    With `among`, whose last value is a number by key of `word_keys`, (at, n): only those keys, by their number.  So
+    no more rows are shuffled than `among` has, times the tasks.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(among)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        n = None if table is None else np.zeros(len(table.h), np.int64)
         for batch in it:
-            for c in chunks(batch.column(1)):
-                w, kind = words(c), batch.column(0).slice(c.first, c.last - c.first).to_numpy()
-                row = np.repeat(np.arange(len(kind)), np.diff(w.row_starts))
+            for c in chunks(batch.column(0)):
+                w, g = words(c), group_codes(batch.column(1), groups, c.first, c.last)
+                row = np.repeat(np.arange(len(g)), np.diff(w.row_starts))
                 order = np.lexsort((w.hashes, row))
                 a, b = row[order], w.hashes[order]
                 first = order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]] if len(order) else order
-                row, hashes = row[first], w.hashes[first]
-                own = group_codes(batch.column(2), groups, c.first, c.last)[row]
-                for g, use in ((own, own > 0), (np.zeros_like(own), np.ones(len(own), bool))):
-                    keys = word_keys(hashes, g)[use]
-                    yield pa.RecordBatch.from_arrays([pa.array(kind[row[use]].astype(np.int32)), pa.array(g[use].astype(np.int32)), pa.array(keys.view(np.int64))], ["m", "g", "key"])
-
-    return arrow_map(docs.select("m", "text", "lang"), run, "m int, g int, key long").groupBy("m", "g", "key").agg(F.count("*").alias("n"))
+                own, hashes = g[row[first]], w.hashes[first]
+                for t, use in ((own, own > 0), (np.zeros_like(own), np.ones(len(own), bool))):
+                    if table is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(t[use].astype(np.int32)), pa.array(hashes[use].view(np.int64))], ["g", "word"])
+                    else:
+                        at = table.find(word_keys(hashes[use], t[use]))
+                        n += np.bincount(at[at >= 0], minlength=len(n))
+        if table is not None:
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(table.values[-1][some]), pa.array(n[some])], ["at", "n"])
+
+    if among is not None:
+        return arrow_map(docs.select("text", "lang"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    return arrow_map(docs.select("text", "lang"), run, "g int, word long").groupBy("g", "word").agg(F.count("*").alias("n"))
