@@ -22,11 +22,20 @@ def code_points(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def range_hashes(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return hasher(points)(begin, end)
+
+
+def hasher(points: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """`range_hashes` of many ranges of the same points."""
     n = len(points)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers(n), out=prefix[1:])
-    h = (prefix[end] - prefix[begin]) * powers(n + 1, inverse=True)[begin]
-    return mix(h + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    inverse = powers(n + 1, inverse=True)
+
+    def hashes(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((prefix[end] - prefix[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    return hashes
 
 
 _kept: dict[int, dict] = {}
@@ -47,7 +56,8 @@ def forget() -> None:
 class UnitCache:
     """For each distinct unit an array of integers, made once by `make` and kept up to `most` units or `values` integers.
 
-    Units are known again by a 64-bit hash; their texts aren't kept.  What is kept only saves time.
+    Units are known again by a 64-bit hash; their texts aren't kept.  What is kept only saves time.  When it is full,
+    the units stay that came in more than one call, if they are at most half of it.
     """
 
     def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, ...]], columns: int, most: int = 250_000, values: int = 8_000_000):
@@ -62,14 +72,33 @@ class UnitCache:
         self.start = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.extra = [np.zeros(1 << 16) for _ in range(self.columns)]
+        self.again = np.zeros(1 << 16, bool)
+
+    def _tidy(self) -> None:
+        """Forget the units that came in one call only."""
+        stay = np.flatnonzero(self.again[: self.count])
+        size = self.size[stay]
+        if 2 * len(stay) > self.most or 2 * size.sum() > self.values:
+            return self.clear()
+        keys = list(self.known)  # in the order of their places
+        flat, extra = self.flat[spread(self.start[stay], size)], [x[stay] for x in self.extra]
+        self.clear()
+        self._grow(len(flat), len(stay))
+        self.flat[: len(flat)] = flat
+        self.start[: len(stay)], self.size[: len(stay)] = np.cumsum(size) - size, size
+        for have, x in zip(self.extra, extra):
+            have[: len(stay)] = x
+        self.known = {keys[i]: k for k, i in enumerate(stay.tolist())}
+        self.used, self.count = len(flat), len(stay)
 
     def places(self, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The place in the cache of each unit points[begin:end]."""
         if len(self.known) > self.most or self.used > self.values:
-            self.clear()
+            self._tidy()
         keys, first, back = np.unique(range_hashes(points, begin, end), return_index=True, return_inverse=True)
         got = np.array([self.known.get(k, -1) for k in keys.tolist()], np.int64)
         new = np.flatnonzero(got < 0)
+        self.again[got[got >= 0]] = True
         if len(new):
             b, e = begin[first[new]], end[first[new]]
             text = points[spread(b, e - b)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
@@ -95,3 +124,4 @@ class UnitCache:
             more = max(units, len(self.start))
             self.start, self.size = (np.r_[x, np.zeros(more, np.int64)] for x in (self.start, self.size))
             self.extra = [np.r_[x, np.zeros(more)] for x in self.extra]
+            self.again = np.r_[self.again, np.zeros(more, bool)]

@@ -6,6 +6,7 @@ import heapq
 import math
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from ._batch import HashIndex, chunks, spread
 from ._session import arrow_map, doc_view
-from ._units import UnitCache, code_points, kept, range_hashes
+from ._units import UnitCache, code_points, hasher, kept, range_hashes
 
 NBEST = 4
 LONG = 2048
@@ -76,26 +77,32 @@ class Lattice:
     def segment(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each unit its own ids and then the best path's, the number of both, the best path's score, what the
         second best loses, and the number of own ids."""
-        own, (paths, score, gap) = self.own(units), self.best(units)
-        flat = [i for x, y in zip(own, paths) for i in (*x, *y)]
-        first = np.array([len(x) for x in own])
-        return np.array(flat, np.int32), first + np.array([len(y) for y in paths]), score, gap, first
+        own, ((paths, size), score, gap) = self.own(units), self.best(units)
+        first = np.array([len(x) for x in own], np.int64)
+        begin = np.cumsum(first + size) - first - size
+        flat = np.empty(first.sum() + size.sum(), np.int32)
+        flat[spread(begin, first)] = np.fromiter(chain.from_iterable(own), np.int32)
+        flat[spread(begin + first, size)] = paths
+        return flat, first + size, score, gap, first
 
-    def best(self, units: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
-        """Token ids of the best path of each unit, its score, and how much the second best loses.
+    def best(self, units: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+        """Token ids of the best paths of all units in turn, the number of each, its score, and how much the second best loses.
 
         Forward and backward Viterbi over many units at once; the second best path is the best one through an
         edge that the best path doesn't use.  Among equal paths that with the longest last piece wins, and so
         on towards the beginning.  Units of more than LONG signs are searched one by one, in linear space.
         """
-        out: list = [None] * len(units)
+        flat, used = [], 0
+        start, count = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
         score, gap = np.zeros(len(units)), np.zeros(len(units))
         by_size: dict[int, list[int]] = {}
         for k, u in enumerate(units):
             n = len(u)
             if n > LONG:
                 found = self.nbest(u, 2)
-                out[k], score[k] = found[0][1], found[0][0]
+                flat.append(np.array(found[0][1], np.int32))
+                start[k], count[k], score[k] = used, len(flat[-1]), found[0][0]
+                used += count[k]
                 gap[k] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
                 continue
             by_size.setdefault(n if n <= 24 else 1 << (n - 1).bit_length(), []).append(k)
@@ -103,71 +110,71 @@ class Lattice:
             step = max(1, 400_000 // (size * self.longest))
             for a in range(0, len(members), step):
                 some = members[a : a + step]
-                paths, s, g = self._viterbi([units[k] for k in some], size)
-                score[some], gap[some] = s, g
-                for k, p in zip(some, paths):
-                    out[k] = p
-        return out, score, gap
+                ids, n, score[some], gap[some] = self._viterbi([units[k] for k in some], size)
+                start[some], count[some] = used + np.cumsum(n) - n, n
+                flat.append(ids)
+                used += len(ids)
+        return (np.concatenate(flat or [np.zeros(0, np.int32)])[spread(start, count)], count), score, gap
 
     def _viterbi(self, units: list[str], size: int):
+        """As `best`, over units of at most `size` signs; edges by length, begin and unit, so that units lie side by side."""
         m, longest = len(units), min(self.longest, size)
         lens = np.array([len(u) for u in units])
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         points[points == 32] = SPACE
         row = np.repeat(np.arange(m), lens)
         col = np.arange(len(points)) - np.repeat(np.cumsum(lens) - lens, lens)
-        edge = np.full((m, size, longest), -np.inf)
-        ids = np.full((m, size, longest), -1, np.int64)
-        left = lens[row] - col
+        edge = np.full((longest, size, m), -np.inf)
+        ids = np.full((longest, size, m), -1, np.int32)
+        left, hashes = lens[row] - col, hasher(points)
         for k in range(1, longest + 1):
             at = np.flatnonzero(left >= k)
             if not len(at):
                 break
-            hit = self.index.find(range_hashes(points, at, at + k))
+            hit = self.index.find(hashes(at, at + k))
             ok = hit >= 0
             r, c_ = row[at[ok]], col[at[ok]]
-            edge[r, c_, k - 1] = self.index.values[0][hit[ok]]
-            ids[r, c_, k - 1] = self.index.values[1][hit[ok]]
-        bare = np.isneginf(edge[row, col, 0])
-        edge[row[bare], col[bare], 0] = self.unknown
-        fwd = np.full((m, size + 1), -np.inf)
-        fwd[:, 0] = 0
-        back = np.zeros((m, size + 1), np.int64)
+            edge[k - 1, c_, r] = self.index.values[0][hit[ok]]
+            ids[k - 1, c_, r] = self.index.values[1][hit[ok]]
+        bare = np.isneginf(edge[0, col, row])
+        edge[0, col[bare], row[bare]] = self.unknown
+        every = np.arange(m)
+        fwd = np.full((size + 1, m), -np.inf)
+        fwd[0] = 0
+        back = np.zeros((size + 1, m), np.int64)
         for t in range(1, size + 1):
             w = min(longest, t)
-            ks = np.arange(w, 0, -1)
-            cand = fwd[:, t - ks] + edge[:, t - ks, ks - 1]
-            pick = np.argmax(cand, axis=1)
-            fwd[:, t] = cand[np.arange(m), pick]
-            back[:, t] = ks[pick]
-        bwd = np.full((m, size + 1), -np.inf)
-        bwd[np.arange(m), lens] = 0
+            cand = fwd[t - w : t] + edge[np.arange(w - 1, -1, -1), np.arange(t - w, t)]
+            pick = np.argmax(cand, axis=0)
+            fwd[t] = cand[pick, every]
+            back[t] = w - pick
+        bwd = np.full((size + 1, m), -np.inf)
+        bwd[lens, every] = 0
         for s in range(size - 1, -1, -1):
             w = min(longest, size - s)
-            ks = np.arange(1, w + 1)
-            bwd[:, s] = np.maximum(bwd[:, s], (edge[:, s, ks - 1] + bwd[:, s + ks]).max(axis=1))
-        total = fwd[np.arange(m), lens]
-        through = np.full((m, size, longest), -np.inf)
-        for k in range(1, longest + 1):
-            through[:, : size - k + 1, k - 1] = fwd[:, : size - k + 1] + edge[:, : size - k + 1, k - 1] + bwd[:, k:]
-        at, paths = lens.copy(), [[] for _ in range(m)]
-        live = np.arange(m)
+            np.maximum(bwd[s], (edge[:w, s] + bwd[s + 1 : s + 1 + w]).max(axis=0), out=bwd[s])
+        total = fwd[lens, every]
+        at, live, steps = lens.copy(), every, []
         while len(live):
-            k = back[live, at[live]]
+            k = back[at[live], live]
             s = at[live] - k
-            through[live, s, k - 1] = -np.inf
-            for r, b, i in zip(live.tolist(), s.tolist(), ids[live, s, k - 1].tolist()):
-                paths[r].append(i if i >= 0 else ~b)
+            steps.append((live, s, ids[k - 1, s, live]))
+            edge[k - 1, s, live] = -np.inf  # what is left are the edges that the best path doesn't use
             at[live] = s
             live = live[s > 0]
-        found = []
-        for u, p in zip(units, paths):
-            done: list[int] = []
-            for i in reversed(p):
-                done += [i] if i >= 0 else self.fallback(u[~i])
-            found.append(done)
-        second = through.reshape(m, -1).max(axis=1)
-        return found, total, np.maximum(total - second, 0.0)
+        second = np.full(m, -np.inf)
+        for k in range(1, longest + 1):
+            np.maximum(second, (fwd[: size - k + 1] + edge[k - 1, : size - k + 1] + bwd[k:]).max(axis=0), out=second)
+        row, begin, path = (np.concatenate(x) for x in zip(*steps))
+        order = np.argsort(row * (size + 1) + begin)
+        row, begin, path = row[order], begin[order], path[order]
+        if len(bare := np.flatnonzero(path < 0)):
+            spelt = [self.fallback(units[r][s]) for r, s in zip(row[bare].tolist(), begin[bare].tolist())]
+            n = np.ones(len(path), np.int64)
+            n[bare] = [len(x) for x in spelt]
+            path, row = np.repeat(path, n), np.repeat(row, n)
+            path[spread((np.cumsum(n) - n)[bare], n[bare])] = [i for x in spelt for i in x]
+        return path, np.bincount(row, minlength=m), total, np.maximum(total - second, 0.0)
 
     def nbest(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best paths of a unit, best first: A* from its end, led by the exact forward Viterbi scores.
