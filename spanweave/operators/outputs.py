@@ -59,6 +59,12 @@ def bio_columns(sents: DataFrame, spans: DataFrame, rules: list[str]) -> DataFra
     return toks.join(tags, [*KEY, "pos"], "left").select(*KEY, "pos", "tok", *[F.coalesce(r, F.lit("O")).alias(r) for r in rules])
 
 
+def test_columns(sents: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """As `bio_columns`, for rules that are tests of single tokens (Columns over `tok`): no token leaves its row."""
+    toks = sents.select(*KEY, F.posexplode("tokens").alias("pos", "tok"))
+    return toks.select(*KEY, "pos", "tok", *[F.when(t, "B").otherwise("O").alias(r) for r, t in tests.items()])
+
+
 def markup(sents: DataFrame, spans: DataFrame, trim: bool = False) -> DataFrame:
     """Sentences with >>> <<< around their matches (non-overlapping), in their order."""
     marks = spans.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("m"))
